@@ -17,6 +17,9 @@ private-use ones back in their place (positions are unaffected).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,33 +35,36 @@ ONE_UNIT = r"^\s*Fig"
 # Abbreviations by what may follow them.
 ALWAYS = "Dr|Dra|Prof|Mr|Mrs|Ms|St|Sr|Sra|Jr|Mme|Mlle|Hr|Fr|cf|vs|approx|incl|resp|al|ca|bzw|vgl|bldg|esp|viz|ej|ex|env|ver|ed|eds|dept|univ|ดร|डॉ|श्री|им|ул|см|рис|табл|гл|стр"
 BEFORE_NUMBER = "Fig|Figs|fig|figs|Eq|Eqs|Sec|Secs|Sect|Tab|Tabs|Ref|Refs|No|Nos|no|Nr|Abb|Art|Bd|Vol|vol|Ch|ch|pp|núm|n|Kap|S|v|p|Def|Thm|Alg"
-MAY_END = r"etc|usw|p\.m|a\.m|u\.a"
+MAY_END = "etc|usw|ff"
 FUNCTION_WORDS = "and|or|but|which|that|in|on|at|for|to|with|is|are|was|were|as|by|from|of|und|oder|für|mit|y|o|et|ou|en|de|des|der|die|das|con|para"
 MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 
+_TERMINATORS = ".!?。！？।؟"
+_CLOSERS = "”»’」』）)\"'\\]"
 _QUOTES = '"“”„«»「」『』()（）'
-#: Inside a quotation or bracket: the next quote mark, some characters on, closes one.  A straight or double-faced mark closes when no space stands before it.
-_INSIDE = rf'(?=[^{_QUOTES}]{{1,{QUOTE_REACH}}}(?:(?<=[^\s(\[])["“”]|[»」』)）]))'
+#: Openers of a quotation or bracket that closes within QUOTE_REACH characters.
+_OPENER = (
+    rf'(?:(?<![^\s(\[])"(?=[^\s"][^"]{{0,{QUOTE_REACH}}}")|[“„](?=[^“”„]{{1,{QUOTE_REACH}}}[”“])|«(?=[^«»]{{1,{QUOTE_REACH}}}»)'
+    rf"|「(?=[^「」]{{1,{QUOTE_REACH}}}」)|『(?=[^『』]{{1,{QUOTE_REACH}}}』)|\((?=[^()]{{1,{QUOTE_REACH}}}\))|（(?=[^（）]{{1,{QUOTE_REACH}}}）))"
+)
 
 _WORD_START = rf"(?<![\p{{L}}\p{{M}}\p{{N}}.{DOT}])"
-#: A short word with a full stop that belongs to it; the word is group 1.
-ABBREVIATION = (
+#: Full stops that end no sentence.  First those of a short word (kept as group 1), then decimals, URLs, ellipses, ordinals of dates.
+MASKED_DOT = (
     rf"{_WORD_START}(?=\p{{L}}[\p{{L}}\p{{M}}]{{0,5}}\.\s)("
     rf"(?:{ALWAYS})(?=\.)"
     rf"|(?:{BEFORE_NUMBER})(?=\.\s*[\d№\[])"
     r"|[\p{Lu}\p{Lo}](?=\.\s+\p{L})"  # initials
     r"|\p{Ll}(?=\.\s+(?:\p{Ll}|\p{Lu}\.))"  # letters of an abbreviation such as z. B.
     rf"|(?:{MAY_END})(?=\.\s+(?:{FUNCTION_WORDS})(?!\p{{L}})))\."
-)
-#: Other full stops that end no sentence: decimals, URLs, ellipses, ordinals of dates, quotations.
-INNER_DOT = (
-    r"\.(?:(?=[\p{L}\p{N}_/@&=?%#~.-])"
+    r"|\.(?:(?=[\p{L}\p{N}_/@&=?%#~.-])"
     r"|(?<=\.\.\.)(?=\s+\p{Ll})"
     rf"|(?<=\d\.)(?=\s+(?:{MONTHS})(?!\p{{L}}))"
     r"|(?<=(?<!\p{L})(?:i\.e|e\.g|d\.h|z\.B)\.)(?=\s)"
-    rf"|{_INSIDE})"
+    rf"|(?<=(?<!\p{{L}})[ap]\.m\.)(?=\s+(?:{FUNCTION_WORDS})(?!\p{{L}})))"
 )
-GUARDED = rf"[!?。！？।؟]{_INSIDE}"
+#: Terminators inside a quotation or bracket, but not its last character: from the opener on, one after the other.
+QUOTED = rf"((?:\G(?!\A)|{_OPENER})[^{_QUOTES}{_TERMINATORS}]*+[{_TERMINATORS}]++)(?![{_CLOSERS}])"
 _THAI = r"\u0E00-\u0E7F"
 BOUNDARY_AFTER = (
     r"(?=[.!?।؟…。！？\n])(?:[.!?।؟]+(?=\s)"
@@ -78,9 +84,8 @@ def _lit(s: str) -> Column:
 
 def _masked(block: Column) -> Column:
     block = F.when(block.rlike(f"[{_RESERVED}]"), F.translate(block, _RESERVED, _ASIDE)).otherwise(block)
-    block = F.regexp_replace(block, _lit(ABBREVIATION), _lit("$1" + DOT))
-    block = F.regexp_replace(block, _lit(INNER_DOT), _lit(DOT))
-    block = F.regexp_replace(block, _lit(GUARDED), _lit("$0" + GUARD))
+    block = F.regexp_replace(block, _lit(MASKED_DOT), _lit("$1" + DOT))
+    block = F.when(block.rlike('["“«„「『(（]'), F.regexp_replace(block, _lit(QUOTED), _lit("$1" + GUARD))).otherwise(block)
     return F.regexp_replace(block, _lit(BOUNDARY_AFTER), _lit("$0" + BOUNDARY))
 
 
@@ -94,7 +99,8 @@ def sentence_units(df: DataFrame, record: str, text: str) -> DataFrame:
     One shuffle, by record: the pieces' lengths are summed in order within each
     row of the input, so copies of a row give the same units and are merged.
     """
-    ws = _lit(" \t\n\r\f\u000b\u00a0\u3000")
+    spaces = " \t\n\r\f\u000b\u00a0\u3000"
+    ws, ends_in_space = _lit(spaces), reduce(or_, (F.col("_piece").endswith(c) for c in spaces))
     blocks = df.select(F.col(record).alias("_id"), F.col(text).alias("_t")).where("_t is not null and _t <> ''")
     blocks = blocks.withColumn("_row", F.monotonically_increasing_id())
     blocks = blocks.select("_id", "_row", F.posexplode(F.split("_t", r"(?=\n[ \t]*\n)")).alias("_b", "_block"))
@@ -112,7 +118,7 @@ def sentence_units(df: DataFrame, record: str, text: str) -> DataFrame:
     units = units.select(
         "_id", "_row", "_b", "_u", "_prose",
         F.length("_piece").alias("_len"),
-        F.length(F.rtrim("_piece", ws)).alias("_end"),
+        F.when(ends_in_space, F.length(F.rtrim("_piece", ws))).otherwise(F.length("_piece")).alias("_end"),
         (F.length("_piece") - F.length(F.ltrim("_piece", ws))).alias("_lead"),
         _restored(F.trim("_piece", ws)).alias("_unit"),
     )
