@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.runtime import ensure_importable
+from quire.llm.chunking import limit_of, split_oversized
 from quire.llm.confusables import look_alike_pairs
+from quire.llm.mixing import mix, shares, token_counts
+from quire.llm.mojibake import repair_encoding
 from quire.llm.sentences import sentence_units
 
 
@@ -28,11 +31,49 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(raw.unionByName(fig), ["tbl"], "id", "text")
 
 
+def p3_pieces(spark: SparkSession, d: str, with_text: bool = False) -> DataFrame:
+    """Pieces of every final paper under its limit, with their places."""
+    size, overlap = limit_of(_t(spark, d, "chunk_limit"), "paper_md")
+    return split_oversized(_t(spark, d, "paper_md"), "paper_id", "md_content", size, overlap, with_text).distinct()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """(paper_id) of the papers that come out in several pieces."""
+    return p3_pieces(spark, d).where("piece_no > 1").select("paper_id").distinct()
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, tokens, copies) of the mixed data set."""
+    counts = token_counts(_t(spark, d, "documents"), "doc_id", "source", "text")
+    return mix(counts, _t(spark, d, "mix_target")).withColumnRenamed("key", "doc_id")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    counts, targets = token_counts(_t(spark, d, "documents"), "doc_id", "source", "text"), _t(spark, d, "mix_target")
+    return shares(counts, targets, mix(counts, targets))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id) of the documents with wrongly decoded text."""
+    return repair_encoding(_t(spark, d, "documents"), "doc_id", "text").where("garbled").select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, restored_text, fully_restored) of the documents with wrongly decoded text."""
+    return repair_encoding(_t(spark, d, "documents"), "doc_id", "text").where("garbled").drop("garbled").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Training-data queries by name."""
-    return {"p4_found": p4_found, "p5_found": p5_found}
+    found = (p3_found, p3_pieces, p4_found, p5_found, p8_mix, p8_shares, p9_found, p9_restored)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the training-data queries by name."""
-    return {}
+    return {
+        "p3_found": """
+            SELECT DISTINCT paper_id FROM paper_md
+            WHERE length(md_content) > (SELECT max(max_chars) FROM chunk_limit WHERE item_type = 'paper_md')""",
+    }
