@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quire.runtime import ensure_importable
 from quire.llm.chunking import limit_of, split_oversized
 from quire.llm.confusables import look_alike_pairs
+from quire.llm.leakage import leaked_items
 from quire.llm.mixing import mix, shares, token_counts
 from quire.llm.mojibake import repair_encoding
 from quire.llm.sentences import sentence_units
@@ -42,6 +43,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where("piece_no > 1").select("paper_id").distinct()
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, item_id): documents and the test items they hold."""
+    return leaked_items(_t(spark, d, "documents"), "doc_id", "text", _t(spark, d, "eval_item"), "item_id", "passage")
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, source, tokens, copies) of the mixed data set."""
     counts = token_counts(_t(spark, d, "documents"), "doc_id", "source", "text")
@@ -66,7 +72,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Training-data queries by name."""
-    found = (p3_found, p3_pieces, p4_found, p5_found, p8_mix, p8_shares, p9_found, p9_restored)
+    found = (p3_found, p3_pieces, p4_found, p5_found, p7_found, p8_mix, p8_shares, p9_found, p9_restored)
     return {f.__name__: f for f in found}
 
 
