@@ -38,6 +38,8 @@ STRIDE = 5
 #: Shingles of a document window are those of two neighbouring blocks of this many.
 BLOCK = 24
 HASHES = 128
+#: Windows are partitioned by size in steps of this many shingles.
+PARTITION = 8
 #: Least share of a stretch's shingles in one window (half of a stretch that stands in two places) and in the document.
 CONTAINMENT_WINDOW = 0.28
 CONTAINMENT = 0.5
@@ -120,7 +122,7 @@ class Index:
                 self.values.append(v)
                 self.starts.append(np.append(at, len(order)))
                 self.stretches.append(order)
-        self.least = np.array([least_agreeing(1 << k) for k in range(0, 8)])
+        self.least = np.array([least_agreeing(PARTITION * (k + 1)) for k in range(2 * BLOCK // PARTITION + 1)])
 
     def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
         """(document, item) with a window that agrees with a stretch in enough MinHash values."""
@@ -137,7 +139,7 @@ class Index:
         owner_a, size_a = np.array(owner), np.array(sizes)
         joined = np.append(owner_a[1:] == owner_a[:-1], False)  # a window is a block and the next one of its document
         size_a = size_a + np.where(joined, np.append(size_a[1:], 0), 0)
-        partition = np.minimum(np.ceil(np.log2(np.maximum(size_a, 1))).astype(int), 7)
+        partition = (size_a - 1) // PARTITION
         x, n, hits = np.concatenate(docs), len(self.owner), []
         with np.errstate(over="ignore"):
             for k in range(HASHES):
@@ -157,13 +159,25 @@ class Index:
         pair = pair[agree >= self.least[partition[window]]]
         return set(zip(owner_a[pair // n].tolist(), self.owner[pair % n].tolist(), strict=True))
 
-    def verified(self, doc: np.ndarray, item: int) -> bool:
-        """Exact containment of a stretch of the item in the document, in at most two places."""
-        s = self.items[item][1]
+    def verified(self, doc: np.ndarray, candidates: list[int]) -> list[int]:
+        """The candidates of which the document holds a stretch: one membership pass for all of them, then the places of what is held."""
+        parts = [self.items[n][1] for n in candidates]
+        ends = np.cumsum([len(p) for p in parts])
+        s, order = np.concatenate(parts), np.sort(doc)
+        held = order[np.minimum(np.searchsorted(order, s), len(order) - 1)] == s
+        runs = np.cumsum(np.append(0, held))
+        out = []
+        for n, hi, part in zip(candidates, ends, parts, strict=True):
+            lo = hi - len(part)
+            if runs[hi] - runs[lo] >= CONTAINMENT * min(STRETCH - SHINGLE + 1, len(part)) and self._stands(doc, part, runs[lo : hi + 1]):
+                out.append(n)
+        return out
+
+    @staticmethod
+    def _stands(doc: np.ndarray, s: np.ndarray, runs: np.ndarray) -> bool:
+        """Exact containment of a stretch of the item's shingles in at most two places; runs: their running count in the whole document."""
         q = min(STRETCH - SHINGLE + 1, len(s))
         need = CONTAINMENT * q
-        held = np.isin(s, doc)
-        runs = np.cumsum(np.append(0, held))
         counts = runs[q:] - runs[:-q]
         for lo in np.flatnonzero(counts >= need):
             stretch = np.unique(s[lo : lo + q])
@@ -204,7 +218,10 @@ def leaked_items(docs: DataFrame, record: str, text: str, items: DataFrame, item
                 ids, texts = pdf["_d"].tolist(), pdf["_t"].tolist()
                 for a in range(0, len(ids), 500):
                     sets = [shingles(t) for t in texts[a : a + 500]]
-                    hit = [(ids[a + d], index.items[n][0]) for d, n in sorted(index.candidates(sets)) if index.verified(sets[d], n)]
+                    found: dict[int, list[int]] = {}
+                    for d, n in index.candidates(sets):
+                        found.setdefault(d, []).append(n)
+                    hit = [(ids[a + d], index.items[n][0]) for d, ns in found.items() for n in index.verified(sets[d], ns)]
                     if hit:
                         yield pd.DataFrame(hit, columns=["_d", "_i"])
 
