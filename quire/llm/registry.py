@@ -13,6 +13,7 @@ from quire.llm.confusables import look_alike_pairs
 from quire.llm.leakage import leaked_items
 from quire.llm.mixing import mix, shares, token_counts
 from quire.llm.mojibake import repair_encoding
+from quire.llm.residue import Model, residue_units, sample_prose, without_residue
 from quire.llm.sentences import sentence_units
 
 
@@ -32,6 +33,28 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(raw.unionByName(fig), ["tbl"], "id", "text")
 
 
+def _p1_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(records, residue found in them) of raw papers and figure descriptions under one model."""
+    raw, fig, final = _t(spark, d, "paper_raw"), _t(spark, d, "figure_info"), _t(spark, d, "paper_md")
+    prose = [*sample_prose(raw, "paper_id", "md_content"), *sample_prose(fig, "fig_key", "description"), *sample_prose(final, "paper_id", "md_content")]
+    records = raw.select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("rec_id"), F.col("md_content").alias("text")).unionByName(
+        fig.select(F.lit("figure_info").alias("tbl"), F.col("fig_key").alias("rec_id"), F.col("description").alias("text"))
+    )
+    return records, residue_units(records, ["tbl", "rec_id"], "text", Model.fit(prose))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, rec_id) of the records with residue in place of content."""
+    return _p1_units(spark, d)[1].select("tbl", "rec_id").distinct()
+
+
+def p1_kept(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, records): how many records with text are left once those with residue are excluded."""
+    records, found = _p1_units(spark, d)
+    kept = without_residue(records.select("tbl", "rec_id").where("text is not null and text <> ''").distinct(), ["tbl", "rec_id"], found)
+    return kept.groupBy("tbl").agg(F.count("*").alias("records"))
+
+
 def p3_pieces(spark: SparkSession, d: str, with_text: bool = False) -> DataFrame:
     """Pieces of every final paper under its limit, with their places."""
     size, overlap = limit_of(_t(spark, d, "chunk_limit"), "paper_md")
@@ -72,7 +95,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Training-data queries by name."""
-    found = (p3_found, p3_pieces, p4_found, p5_found, p7_found, p8_mix, p8_shares, p9_found, p9_restored)
+    found = (p1_found, p1_kept, p3_found, p3_pieces, p4_found, p5_found, p7_found, p8_mix, p8_shares, p9_found, p9_restored)
     return {f.__name__: f for f in found}
 
 
