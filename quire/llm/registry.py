@@ -14,6 +14,7 @@ from quire.llm.leakage import leaked_items
 from quire.llm.mixing import mix, shares, token_counts
 from quire.llm.mojibake import repair_encoding
 from quire.llm.residue import Model, residue_units, sample_prose, without_residue
+from quire.llm.scanfix import page_noise
 from quire.llm.sentences import sentence_units
 
 
@@ -66,6 +67,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where("piece_no > 1").select("paper_id").distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, rec_id, line_no, noise) of raw papers and code contexts from scanned pages."""
+    raw = _t(spark, d, "paper_raw").select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("rec_id"), F.col("md_content").alias("text"))
+    code = _t(spark, d, "code_block").select(F.lit("code_block").alias("tbl"), F.col("block_key").alias("rec_id"), F.col("context").alias("text"))
+    return page_noise(raw.unionByName(code), ["tbl", "rec_id"], "text")[0]
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, item_id): documents and the test items they hold."""
     return leaked_items(_t(spark, d, "documents"), "doc_id", "text", _t(spark, d, "eval_item"), "item_id", "passage")
@@ -95,7 +103,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Training-data queries by name."""
-    found = (p1_found, p1_kept, p3_found, p3_pieces, p4_found, p5_found, p7_found, p8_mix, p8_shares, p9_found, p9_restored)
+    found = (p1_found, p1_kept, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p8_mix, p8_shares, p9_found, p9_restored)
     return {f.__name__: f for f in found}
 
 
