@@ -13,6 +13,7 @@ from quire.llm.confusables import look_alike_pairs
 from quire.llm.leakage import leaked_items
 from quire.llm.mixing import mix, shares, token_counts
 from quire.llm.mojibake import repair_encoding
+from quire.llm.names import link_names
 from quire.llm.residue import Model, residue_units, sample_prose, without_residue
 from quire.llm.scanfix import page_noise
 from quire.llm.sentences import sentence_units
@@ -56,6 +57,13 @@ def p1_kept(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("tbl").agg(F.count("*").alias("records"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """(field, name_a, name_b): spellings of one person, organisation or venue series."""
+    pub = _t(spark, d, "publication")
+    authors = pub.select(F.lit("authors").alias("field"), F.explode("authors").alias("name"))
+    return link_names(authors.unionByName(pub.select(F.lit("venue").alias("field"), F.col("venue").alias("name"))))
+
+
 def p3_pieces(spark: SparkSession, d: str, with_text: bool = False) -> DataFrame:
     """Pieces of every final paper under its limit, with their places."""
     size, overlap = limit_of(_t(spark, d, "chunk_limit"), "paper_md")
@@ -103,7 +111,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Training-data queries by name."""
-    found = (p1_found, p1_kept, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p8_mix, p8_shares, p9_found, p9_restored)
+    found = (p1_found, p1_kept, p2_found, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p8_mix, p8_shares, p9_found, p9_restored)
     return {f.__name__: f for f in found}
 
 
