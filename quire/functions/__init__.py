@@ -1 +1 @@
-
+"""Functions of quire."""

@@ -1 +1 @@
-
+"""Operators of quire."""

@@ -1 +1 @@
-
+"""Plans of quire."""

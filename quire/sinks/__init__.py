@@ -1 +1 @@
-
+"""Sinks of quire."""

@@ -1 +1 @@
-
+"""Sources of quire."""

@@ -1 +1 @@
-
+"""Streaming of quire."""
