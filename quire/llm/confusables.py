@@ -103,7 +103,7 @@ def build_mapping() -> dict[str, str]:
 @lru_cache(maxsize=1)
 def _transducer():
     mapping = build_mapping()
-    marks = "".join(chr(c) for c in range(0x300, 0x370)) + "".join(chr(c) for c in (*range(0x1AB0, 0x1ACF), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x20F1), 0x3099, 0x309A))
+    marks = "".join(chr(c) for c in range(0x300, 0x370)) + "".join(chr(c) for c in (*range(0x1AB0, 0x1ACF), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x20F1), 0x3099, 0x309A, 0xFF9E, 0xFF9F))
     klass = lambda s: "".join(f"\\U{ord(c):08x}" for c in sorted(set(s)))
     single = klass(c for c in mapping if len(c) == 1 and c not in JOINERS)
     m, hidden = klass(marks), klass(JOINERS) + klass(chr(c) for c in (0xAD, 0x200B, 0x2060, 0xFEFF))

@@ -1,0 +1,167 @@
+import unicodedata
+
+import pytest
+
+pytest.importorskip("quire.llm")
+from pyspark.sql import functions as F
+
+from quire.llm import chunking, confusables, mojibake, residue, scanfix
+from quire.llm.sentences import sentence_units
+
+
+# problem 5
+@pytest.mark.parametrize(("a", "b"), [("Düren", "Düren"), ("Ｆｉｇ ３", "Fig 3"), ("a​b­", "ab"), ("ﬁle", "file"), ("Åm", "Åm"), ("rаnkѕ", "ranks"), ("a  b", "a b"), ("3‑2", "3-2"), ("ё", "ë")])
+def test_reads_the_same(a, b):
+    assert confusables.normalise(a) == confusables.normalise(b)
+
+
+@pytest.mark.parametrize(("a", "b"), [("4⁸", "48"), ("é", "e"), ("A", "a"), ("2²", "22"), ("٣", "3"), ("क्‍ष", "क्ष")])
+def test_reads_differently(a, b):
+    assert confusables.normalise(a) != confusables.normalise(b)
+
+
+def test_mapping_is_consistent():
+    mapping = confusables.build_mapping()
+    for source, target in mapping.items():
+        assert confusables.normalise(target) == target, (source, target)
+    for text in ("Плотность ё й", "ελληνικά", "한국어", "日本語。ｶﾞ", "", None, "plain"):
+        once = confusables.normalise(text)
+        assert confusables.normalise(once) == once
+        assert text is None or unicodedata.normalize("NFC", once) == once
+
+
+def test_pairs(spark):
+    rows = [("t", 1, "Fig 1"), ("t", 2, "Fig 1"), ("t", 3, "Fig 1"), ("u", 4, "Fig 1"), ("t", 1, "Fig 1"), ("t", 5, None), ("t", 6, ""), ("t", 7, "Fig 2")]
+    df = spark.createDataFrame(rows, "tbl string, id bigint, text string").withColumn("_id", F.lit(0))
+    got = {tuple(r) for r in confusables.look_alike_pairs(df, ["tbl"], "id", "text").collect()}
+    assert got == {("t", 1, 2), ("t", 2, 3)}
+    assert confusables.look_alike_pairs(df.limit(0), ["tbl"], "id", "text").count() == 0
+
+
+# problem 4
+def _units(spark, *texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, t string").withColumn("unit", F.lit("x"))
+    out = {i: [] for i in range(len(texts))}
+    for r in sentence_units(df, "id", "t").orderBy("id", "end_pos").collect():
+        assert texts[r["id"]][r["start_pos"] : r["end_pos"]] == r["unit"]
+        out[r["id"]].append(r["unit"])
+    return out
+
+
+def test_sentences(spark):
+    got = _units(
+        spark,
+        "# Title\n\nWe ran v2.5 (cf. Sec. 3; it works) at e.g. 3.5 GB. See Fig. 2 and etc. Next one! Dr. No. 7 left at 9 p.m. He came back.\n\n| a. b |\n\nFig. 1. One. Two.",
+        '"It is stable. We shipped it," wrote Dr. X in 2020. “Stop!” is rare. He said "Go." Then left... and came back.',
+        "结果很稳定。“没有。异常。”他说。好！",
+        "รูปที่ 12 แสดงผล ดร. X อธิบายว่า ได้ร้อยละ 7.65 เราทดสอบ N บนเครื่อง 6 เครื่อง",
+        "यह है। क्या यह है? हाँ!",
+        "Auf 3 Knoten, z. B. bei Läufen, am 23. März 2020. Ende usw. Neu.",
+        None, "", "   \n\n  ", "no mark", "a. B. C",
+    )
+    assert got[0] == ["We ran v2.5 (cf. Sec. 3; it works) at e.g. 3.5 GB.", "See Fig. 2 and etc.", "Next one!", "Dr. No. 7 left at 9 p.m.", "He came back.", "Fig. 1. One. Two."]
+    assert got[1] == ['"It is stable. We shipped it," wrote Dr. X in 2020.', "“Stop!” is rare.", 'He said "Go."', "Then left... and came back."]
+    assert got[2] == ["结果很稳定。", "“没有。异常。”他说。", "好！"]
+    assert got[4] == ["यह है।", "क्या यह है?", "हाँ!"]
+    assert got[5] == ["Auf 3 Knoten, z. B. bei Läufen, am 23. März 2020.", "Ende usw.", "Neu."]
+    assert [got[i] for i in (6, 7, 8, 9)] == [[], [], [], ["no mark"]]
+    assert got[10] == ["a.", "B.", "C"]
+
+
+def test_sentences_of_copies(spark):
+    df = spark.createDataFrame([(1, "One. Two."), (1, "One. Two."), (1, "One. Two.")], "id bigint, t string")
+    assert sorted(r["end_pos"] for r in sentence_units(df, "id", "t").collect()) == [4, 9]
+
+
+# problem 3
+def test_pieces():
+    text = "# A\n\n" + "word " * 300 + "\n\n## B\n\n" + "one two three. " * 60 + "\n\n```\n" + "x = 1\n" * 40 + "```\n\nx" * 3 + "é" * 900
+    for size, overlap in ((400, 50), (120, 0), (60, 59), (7, 3)):
+        pieces = chunking.pack(text, size, overlap)
+        assert all(b - a <= size for a, _, b in pieces) and pieces[0][1] == 0 and pieces[-1][2] == len(text)
+        assert all(q[1] == p[2] and q[0] == max(0, q[1] - overlap) for p, q in zip(pieces, pieces[1:]))
+        assert "".join(text[s:b] for _, s, b in pieces) == text
+    assert chunking.pack("", 10, 2) == [] and chunking.pack("short", 10, 2) == [(0, 0, 5)]
+    cut = chunking.pack("# A\n\n" + "a" * 30 + "\n\n# B\n\n" + "b" * 30, 50, 5)
+    assert [s for _, s, _ in cut] == [0, 37]
+
+
+def test_split_oversized(spark):
+    df = spark.createDataFrame([(1, "a b " * 50), (2, "short"), (3, None), (4, "")], "id bigint, t string").withColumn("piece_no", F.lit(9))
+    rows = chunking.split_oversized(df, "id", "t", 40, 10).collect()
+    assert {r["id"] for r in rows} == {1, 2} and all(len(r["piece"]) <= 40 for r in rows)
+    with pytest.raises(ValueError):
+        chunking.split_oversized(df, "id", "t", 10, 10)
+
+
+# problem 9
+CLEAN = ["Le coût d’accès a été réduit à 10 °C près.", "Größe und Maß für übervolle Puffer.", "Это важный результат для коротких запросов!", "结果很稳定，没有异常。", "El número de años también cambió.", "“Nobody reads the log!” is what “é” and “ü” stand for; see “a”, “b”."] * 40
+
+
+def _repairer():
+    import pandas as pd
+
+    counts = {}
+    for pdf in mojibake._pair_counts(iter([pd.DataFrame({"_t": CLEAN})])):
+        counts.update(zip(pdf["pair"].tolist(), pdf["n"].tolist(), strict=True))
+    return mojibake.Repairer(mojibake.Costs(counts))
+
+
+@pytest.mark.parametrize(("written", "read"), [("utf-8", "cp1252"), ("utf-8", "cp437"), ("utf-8", "mac_roman"), ("cp1251", "latin-1")])
+def test_round_trip(written, read):
+    r = _repairer()
+    for text in CLEAN[:5]:
+        try:
+            garbled = text.encode(written).decode(read)
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            continue
+        if garbled != text and text != CLEAN[3]:
+            assert r.text(garbled) == (True, text, True), garbled
+
+
+def test_nested_and_clean():
+    r = _repairer()
+    text = CLEAN[4]
+    twice = text.encode().decode("cp1252").encode().decode("cp1252")
+    assert r.text(twice)[:2] == (True, text)
+    assert all(not r.text(t)[0] for t in [*CLEAN[:5], "ascii only", "We saw the sequence â€™ in 22 files and fixed it.", "It shows “Ã©” instead of “é”, which we repair."])
+    assert r.text("caf� au lait") == (True, "caf� au lait", False)
+
+
+def test_repair_frame(spark):
+    bad = CLEAN[0].encode().decode("cp1252")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*CLEAN, bad, bad, "", None, "plain"])], "id bigint, t string")
+    rows = mojibake.repair_encoding(df, "id", "t").where("garbled").collect()
+    assert {r["id"] for r in rows} == {240, 241} and {r["restored_text"] for r in rows} == {CLEAN[0]}
+    assert mojibake.repair_encoding(df.limit(0), "id", "t").count() == 0
+
+
+# problem 1
+PROSE = ["We deploy the cache on four nodes and replay the traces. Results are stable within one rack, as expected.", "The figure shows throughput for adaptive meshes, with one system ahead by ten percent.", "Compared with the baseline, the query planner needs less memory for sequential scans.", "The service of the second tier answered most of the requests in time, until the load grew.", "A field of the record is written to the log before the engine expands the queue.", "While the first node was drained, three percent of the traffic went over the other link."] * 20
+
+
+def test_residue(spark):
+    m = residue.Model.fit(PROSE)
+    for bad in ("Error 404: Not Found", "Please enable JavaScript in your browser.", "{{paper.summary}}", "[Insert your abstract here]", "Lectus tempus magna viverra tortor cursus velit massa.", "TODO TODO TODO TODO TODO TODO TODO TODO"):
+        assert m.units(bad), bad
+        assert m.units(PROSE[0] + "\n\n" + bad + "\n\n" + PROSE[1]), bad
+    for good in [*PROSE[:3], "While failing over, the service answered 3% of the requests with “503 Service Unavailable” until the queue drained.", "A template field like {{title}} is expanded by the engine before the record is written to the log.", "```\nurl: {{ host }}/v1\n```", "", "x"]:
+        assert not m.units(good), good
+    df = spark.createDataFrame([("t", 1, "Error 404: Not Found"), ("t", 2, PROSE[0]), ("t", 3, None), ("t", 4, ""), (None, 5, "{{title}} and {{abstract}}")], "tbl string, id bigint, text string")
+    found = residue.residue_units(df, ["tbl", "id"], "text", m)
+    assert {r["id"] for r in found.collect()} == {1, 5}
+    assert {r["id"] for r in residue.without_residue(df, ["tbl", "id"], found).collect()} == {2, 3, 4, 5}
+
+
+# problem 6
+def test_scanned_pages(spark):
+    words = "the lightweight metadata service keeps approximately seven megabytes of state per node while producer-consumer workflows dominate over a congested fabric and latency grows with clients"
+    clean = [(f"# Study {i}\n\n" + (words + ". ") * 4 + "\n\n" + (words + ". ") * 3) for i in range(60)]
+    scan = "# A study of systems\n\nthe lightweight metadata service keeps appro-\nximately seven megabytes of state per node while\n\n— 84 —\n\nproducer-consumer workflows dominate over a con¬\ngested fabric and lafency grows with clients\nwhile producer-\nconsumer workflows dominate over a congested"
+    df = spark.createDataFrame([*enumerate(clean), (99, scan), (98, None), (97, "")], "id bigint, t string")
+    noise, corrections = scanfix.page_noise(df, ["id"], "t")
+    got = {(r["line_no"], r["noise"]) for r in noise.where("id = 99").collect()}
+    assert {(3, "cut_word"), (6, "page_line"), (8, "cut_word"), (9, "misread")} <= got and (10, "cut_word") not in got
+    assert {(r["word"], r["correction"]) for r in corrections.collect()} >= {("lafency", "latency")}
+    fixed = scanfix.repaired_text(scan, {6}, {3, 8}, {"lafency": "latency"})
+    assert "approximately seven megabytes of state per node while producer-consumer workflows dominate over a congested fabric and latency grows" in fixed and "84" not in fixed
