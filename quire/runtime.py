@@ -12,7 +12,11 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def ensure_importable(spark: SparkSession) -> SparkSession:
-    """Put the package's folder on the Python workers' path (an installed package needs nothing)."""
+    """Put the package's folder on the Python workers' path (an installed package needs nothing).
+
+    Unions are planned without a common partitioning: adaptive execution may merge
+    the partitions of their inputs to different numbers, which then cannot be zipped."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
