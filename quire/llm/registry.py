@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.runtime import ensure_importable
 from quire.llm.chunking import limit_of, split_oversized
 from quire.llm.confusables import look_alike_pairs
 from quire.llm.leakage import leaked_items
 from quire.llm.mixing import mix, shares, token_counts
 from quire.llm.mojibake import repair_encoding
 from quire.llm.names import link_names
+from quire.llm.repair import repair_pages
 from quire.llm.residue import Model, residue_units, sample_prose, without_residue
 from quire.llm.scanfix import page_noise
 from quire.llm.sentences import sentence_units
+from quire.runtime import ensure_importable
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,6 +29,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_units(_t(spark, d, "paper_md"), "paper_id", "md_content").select("paper_id", "end_pos")
 
 
+def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units of every final paper with their places and text."""
+    return sentence_units(_t(spark, d, "paper_md"), "paper_id", "md_content")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """(tbl, id_a, id_b): records that read the same but differ in characters."""
     raw = _t(spark, d, "paper_raw").select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("id"), F.col("md_content").alias("text"))
@@ -75,11 +81,20 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where("piece_no > 1").select("paper_id").distinct()
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """(tbl, rec_id, line_no, noise) of raw papers and code contexts from scanned pages."""
+def _p6_texts(spark: SparkSession, d: str) -> DataFrame:
     raw = _t(spark, d, "paper_raw").select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("rec_id"), F.col("md_content").alias("text"))
     code = _t(spark, d, "code_block").select(F.lit("code_block").alias("tbl"), F.col("block_key").alias("rec_id"), F.col("context").alias("text"))
-    return page_noise(raw.unionByName(code), ["tbl", "rec_id"], "text")[0]
+    return raw.unionByName(code)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, rec_id, line_no, noise) of raw papers and code contexts from scanned pages."""
+    return page_noise(_p6_texts(spark, d), ["tbl", "rec_id"], "text")[0]
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, rec_id, repaired_text) of the texts with page noise."""
+    return repair_pages(_p6_texts(spark, d), ["tbl", "rec_id"], "text")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +126,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Training-data queries by name."""
-    found = (p1_found, p1_kept, p2_found, p3_found, p3_pieces, p4_found, p5_found, p6_found, p7_found, p8_mix, p8_shares, p9_found, p9_restored)
+    found = (p1_found, p1_kept, p2_found, p3_found, p3_pieces, p4_found, p4_sentences, p5_found, p6_found, p6_repaired, p7_found, p8_mix, p8_shares, p9_found, p9_restored)
     return {f.__name__: f for f in found}
 
 
