@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import lit, lines, map_lines, strip, sub, unlines
+from quire.functions.text import let, lines, lit, map_lines, strip, sub, unlines
 
 _LETTERED = r"(?d)^([A-Z])\.\s+(\S+(?:\s+\S+){0,3}?)[.:]?\s*$"
 
@@ -25,6 +25,37 @@ def drop_placeholders(c: Column) -> Column:
     return sub(c, r"(?md)^[ \t]*<!-- image -->[ \t]*\n?", "")
 
 
+def relocate_figures(c: Column) -> Column:
+    """Image and caption of a figure moved to the start of the first section that mentions it, the caption in italics.
+
+    A figure is an image line, blank lines and a caption line; placeholders go.  A
+    figure that no section mentions outside its caption stays where it is."""
+    plain = drop_placeholders(c)
+    image = r"(?d)(!\[Figure (\d+)\]\([^)\n]*\))\n\s*\n((?:Fig(?:ure)?\.?)\s*\d+[.:][^\n]*)(?:\n|\z)\n?"
+
+    def moved(text: Column) -> Column:
+        field = lambda n: F.regexp_extract_all(text, lit(image), F.lit(n))
+        found = F.arrays_zip(field(1).alias("image"), field(2).alias("number"), field(3).alias("caption"))
+        bare = F.split(sub(text, image, ""), r"(?md)(?=^#{1,6} )")
+        mentions = lambda s, n: F.regexp_like(s, F.concat(lit(r"(?i)\bFig(?:ure)?\.?\s*"), n, lit(r"\b")))
+
+        def place(sections: Column) -> Column:
+            home = lambda n: F.array_position(F.transform(sections, lambda s: s.rlike("^#") & mentions(s, n)), F.lit(True))
+            all_placed = F.forall(found, lambda f: home(f["number"]) > 0)
+
+            def filled(s: Column, i: Column) -> Column:
+                mine = F.filter(found, lambda f: home(f["number"]) == i + 1)
+                block = F.array_join(F.transform(mine, lambda f: F.concat(f["image"], lit("\n\n*"), f["caption"], lit("*\n\n"))), "")
+                head, rest = F.regexp_extract(s, r"(?sd)\A([^\n]*\n*)", 1), F.regexp_extract(s, r"(?sd)\A[^\n]*\n*(.*)\z", 1)
+                return F.when(F.size(mine) > 0, F.concat(head, block, rest)).otherwise(s)
+
+            return F.when((F.size(found) > 0) & all_placed, F.array_join(F.transform(sections, filled), "")).otherwise(text)
+
+        return let(bare, place)
+
+    return let(plain, moved)
+
+
 def drop_caption_noise(c: Column, words: int = 3) -> Column:
     """Lines of a few words directly above a caption removed."""
 

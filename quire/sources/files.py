@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.operators.enrich import DOCUMENT, file_stem
 
@@ -121,14 +122,18 @@ def cleanup_agent(docs: DataFrame, text: str, agent: Callable[[str], tuple[str,
     if agent is None:
         raise MissingBackend("cleanup_agent needs an agent")
 
-    @F.pandas_udf("struct<md: string, summary: string>")
-    def run(s: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in s:
-            try:
-                out.append(agent(t))
-            except Exception:  # noqa: BLE001
-                out.append((t, None))
-        return pd.DataFrame(out, columns=["md", "summary"])
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    return docs.withColumn("_r", run(text)).select("*", F.col("_r.md").alias("agent_md"), F.col("_r.summary").alias("agent_summary")).drop("_r")
+        for batch in batches:
+            out = []
+            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
+                try:
+                    out.append(agent(t))
+                except Exception:  # noqa: BLE001
+                    out.append((t, None))
+            added = [pa.array([m for m, _ in out], pa.string()), pa.array([s for _, s in out], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "agent_md", "agent_summary"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("agent_md", T.StringType()), T.StructField("agent_summary", T.StringType())])
+    return docs.mapInArrow(run, schema)  # all other columns pass through as they are

@@ -51,3 +51,10 @@ def test_whole_paper(apply):
 def test_unicode_space(spark):
     df = spark.createDataFrame([("3.1 Design \n",)], "t string")
     assert df.select(sections.hierarchical_headings(F.col("t"))).first()[0].startswith("### 3.1 Design")
+
+
+def test_relocate_figures(apply):
+    text = "# T\n\n## A\n\nSee Fig. 1 here.\n\n## B\n\nText.\n\n![Figure 1](./img/f.png)\n\nFig. 1. Caption\n\nEnd.\n<!-- image -->\n"
+    assert apply(rules.relocate_figures, text, "no figure") == ["# T\n\n## A\n\n![Figure 1](./img/f.png)\n\n*Fig. 1. Caption*\n\nSee Fig. 1 here.\n\n## B\n\nText.\n\nEnd.\n", "no figure"]
+    lost = "## A\n\nText.\n\n![Figure 1](./img/f.png)\n\nFig. 1. Caption\n"
+    assert apply(rules.relocate_figures, lost) == [lost]

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import batch, enrich
+from quire.plans import convert
 from quire.sinks import export
 from quire.sources import files
 from quire.streaming import refine
@@ -73,3 +74,22 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "Abstract -x", None)], refine.DOCUMENTS).write.parquet(str(tmp_path / "in"))
     refine.start(refine.documents_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first()["md"] == "## Abstract\n\nx"
+
+
+def test_convert_plan(spark, tmp_path):
+    (tmp_path / "p.pdf").write_bytes(b"ok")
+    (tmp_path / "q.pdf").write_bytes(b"half")
+    (tmp_path / "r.pdf").write_bytes(b"bad")
+
+    def backend(content, options):
+        if content == b"bad":
+            raise ValueError("broken")
+        return {"status": "SUCCESS" if content == b"ok" else "FAILURE", "errors": ["page 1"], "md": "Abstract -x\n\nFig. 1. c", "source": "p.pdf", "pictures": [{"image": b"i", "width": 300, "height": 300}]}
+
+    rows = convert.parsed(files.pdf_files(spark, str(tmp_path), with_content=True), backend)
+    assert {r["stem"]: r["message"] for r in rows.collect()} == {"p": None, "q": "page 1", "r": "broken"}
+    out = convert.convert(rows, keep_raw=True, enrich=True, agent=lambda t: (t + "!", "done")).first()
+    assert out["md"] == "## Abstract\n\nx\n\n![Figure 1](./img/figure1.png)\n\nFig. 1. c!" and out["md_raw"] == "Abstract -x\n\nFig. 1. c" and out["agent_summary"] == "done"
+    assert out["enrichments"]["metadata"]["num_figures"] == 1
+    assert convert.convert(rows, raw=True).first()["md"] == "Abstract -x\n\nFig. 1. c"
+    assert batch.batch_summary(convert.results(rows)).first()["failed"] == 2
