@@ -18,6 +18,7 @@ pieces.  All sizes and positions count code points.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,8 +30,9 @@ _HEADING = re.compile(r"^(#{1,6})[ \t]", re.M)
 _BLOCK = re.compile(r"\n[ \t]*\n\s*")
 _LINE = re.compile(r"\n")
 _SENTENCE = re.compile(r"[.!?؟।]+[\"”»’')\]]*\s+|[。！？]+[」』”）]*")
-_WORD = re.compile(r"\s+|(?<=[฀-๿぀-ヿ㐀-鿿])(?=[、，])")
-_CLUSTER = re.compile(r"[^̀-ͯ҃-҉֑-ֽً-ٟऀ-ःऺ-्ัิ-ฺ็-๎‌‍⃐-⃰︀-️][̀-ͯ҃-҉֑-ֽً-ٟऀ-ःऺ-्ัิ-ฺ็-๎‌‍⃐-⃰︀-️]*", re.S)
+_WORD = re.compile(r"\s+|(?<=[、，])")
+_MARKS = "\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u0900-\u0903\u093a-\u094f\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u200c\u200d\u20d0-\u20f0\ufe00-\ufe0f"
+_CLUSTER = re.compile(f"[^{_MARKS}][{_MARKS}]*|[{_MARKS}]+", re.S)
 SECTION_LEVELS = 6
 
 
@@ -39,20 +41,25 @@ class _Item:
 
     def __init__(self, text: str):
         self.text = text
-        fences = [m.span() for m in _FENCE.finditer(text)] if "```" in text or "~~~" in text else []
-        self.headings = [(m.start(), len(m.group(1))) for m in _HEADING.finditer(text) if not any(a <= m.start() < b for a, b in fences)]
-        self.fences = fences
+        self.fences = [m.span() for m in _FENCE.finditer(text)] if "```" in text or "~~~" in text else []
+        self.fence_starts = [a for a, _ in self.fences]
+        self.headings = [(m.start(), len(m.group(1))) for m in _HEADING.finditer(text) if not self._fenced(m.start())]
+        self.heading_starts = [at for at, _ in self.headings]
+
+    def _fenced(self, at: int) -> bool:
+        k = bisect_right(self.fence_starts, at) - 1
+        return k >= 0 and at < self.fences[k][1] and at != self.fences[k][0]
 
     def cuts(self, level: int, start: int, end: int) -> Iterator[int]:
         """Positions inside (start, end) at which a node is opened on ``level``."""
         if level <= SECTION_LEVELS:
-            for at, depth in self.headings:
-                if depth <= level and start < at < end:
+            for at, depth in self.headings[bisect_right(self.heading_starts, start) : bisect_left(self.heading_starts, end)]:
+                if depth <= level:
                     yield at
             return
         if level == SECTION_LEVELS + 1:
             for m in _BLOCK.finditer(self.text, start, end):
-                if not any(a < m.end() < b for a, b in self.fences):
+                if not self._fenced(m.end()):
                     yield m.end()
             return
         pattern = (_LINE, _SENTENCE, _WORD, _CLUSTER)[level - SECTION_LEVELS - 2]
@@ -61,6 +68,7 @@ class _Item:
 
 
 LAST_LEVEL = SECTION_LEVELS + 5
+NO_LIMIT = (1 << 31) - 1
 
 
 def _pack(item: _Item, start: int, end: int, level: int, limit: int) -> list[tuple[int, int]]:
@@ -122,8 +130,8 @@ def split_oversized(df: DataFrame, record: str, text: str, max_chars: int, overl
 
 
 def limit_of(limits: DataFrame, item_type: str) -> tuple[int, int]:
-    """(max_chars, overlap_chars) of an item type; the table has one row for each."""
+    """(max_chars, overlap_chars) of an item type; the table has one row for each.  Without a row nothing is too large."""
     row = limits.where(F.col("item_type") == item_type).select("max_chars", "overlap_chars").distinct().first()
     if row is None:
-        raise ValueError(f"no limit for {item_type}")
+        return NO_LIMIT, 0
     return row[0], row[1]
