@@ -87,6 +87,10 @@ def q_embed_figures(spark, d):
     return _with_images(spark, d).select("doc_id", figures.process_figures(F.col("md"), F.col("files")).alias("md"))
 
 
+def q_relocate_figures(spark, d):
+    return q_embed_figures(spark, d).select("doc_id", rules.relocate_figures(F.col("md")).alias("md"))
+
+
 def q_unembedded_figures(spark, d):
     papers = view(spark, d, "papers").select("doc_id", F.regexp_replace("md", r"Fig\. ([0-9])", "![Figure $1](x)").alias("md"))
     return figures.unembedded_figures(papers, "doc_id", "md", q_figure_map(spark, d))
