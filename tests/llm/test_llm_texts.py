@@ -165,3 +165,23 @@ def test_scanned_pages(spark):
     assert {(r["word"], r["correction"]) for r in corrections.collect()} >= {("lafency", "latency")}
     fixed = scanfix.repaired_text(scan, {6}, {3, 8}, {"lafency": "latency"})
     assert "approximately seven megabytes of state per node while producer-consumer workflows dominate over a congested fabric and latency grows" in fixed and "84" not in fixed
+
+
+def test_recurring_misreadings(spark):
+    words = "the lightweight metadata service keeps approximately seven megabytes of state per node while producer-consumer workflows dominate over a congested fabric and latency grows with clients"
+    clean = [(f"# Study {i}\n\n" + (words + ". ") * 4 + "\n\n" + (words + ". ") * 3) for i in range(60)]
+    scan = "# A study of systems\n\nthe lightweight metaclata service keeps seven\nmegabytes of state per node while workflows dominate\nover a congested fabric and lafency grows wifh clients"
+    pages = [(100 + i, f"{scan}\nover a congested fabric {i}") for i in range(8)]  # more often than LEXICON_COUNT
+    df = spark.createDataFrame([*enumerate(clean), *pages], "id bigint, t string")
+    noise, corrections = scanfix.page_noise(df, ["id"], "t")
+    assert {(r["word"], r["correction"]) for r in corrections.collect()} == {("lafency", "latency"), ("metaclata", "metadata"), ("wifh", "with")}
+    assert {(r["id"], r["line_no"]) for r in noise.where("noise = 'misread'").collect()} == {(i, n) for i, _ in pages for n in (3, 5)}
+
+
+def test_doubtful_words(spark):
+    assert {"node", "nodc"} & scanfix.readings("n0dc") == {"node", "nodc"}
+    assert "metadata" in scanfix.readings("metaclata") and scanfix.readings("") == set()
+    for size in (1, 1000):
+        counts = {"node": 210 * size, "n0de": 10 * size, "hat": 100 * size, "bat": 100 * size, "the": 900 * size}
+        words = spark.createDataFrame(list(counts.items()), "word string, n long")
+        assert [r["word"] for r in scanfix.doubtful_words(words, counts).collect()] == ["n0de"]
