@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,23 +14,24 @@ from quire.oracle import ORACLE
 from quire.plans.pipeline import process_markdown
 from quire.runtime import ensure_importable
 from quire.tables import table
-from quire.views import view
+from quire.views import view, whole_view
 
 Query = Callable[[SparkSession, str], DataFrame]
+View = Callable[[SparkSession, str, str], DataFrame]
 
 
-def _text(op: Callable[[Column], Column]) -> Query:
+def _text(op: Callable[[Column], Column], view: View = view) -> Query:
     """A query that applies one text operator to every paper."""
     return lambda spark, d: view(spark, d, "papers").select("doc_id", op(F.col("md")).alias("md"))
 
 
-def _with_images(spark: SparkSession, d: str) -> DataFrame:
+def _with_images(spark: SparkSession, d: str, view: View = view) -> DataFrame:
     papers = view(spark, d, "papers")
     listing = view(spark, d, "images").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "filename"))), lambda x: x["filename"]).alias("files"))
     return papers.join(listing, "doc_id", "left")
 
 
-def _parsed(spark: SparkSession, d: str) -> DataFrame:
+def _parsed(spark: SparkSession, d: str, view: View = view) -> DataFrame:
     """Nested parsed documents of the flat views."""
     prov = lambda p: F.when(F.col(p).isNotNull(), F.array(F.struct(F.col(p).alias("page_no"))))
     items = F.struct("idx", F.struct("text", "code_language", prov("page_no").alias("prov"), F.lit(None).cast("int").alias("page")).alias("item"))
@@ -54,7 +56,7 @@ def _parsed(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _paper_lines(spark: SparkSession, d: str) -> DataFrame:
+def _paper_lines(spark: SparkSession, d: str, view: View = view) -> DataFrame:
     return view(spark, d, "papers").select("doc_id", F.posexplode(lines(F.col("md"))).alias("pos", "line"))
 
 
@@ -62,69 +64,69 @@ def _publications(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "publication").dropDuplicates(["pub_id"])
 
 
-def q_header_level(spark, d):
+def q_header_level(spark, d, view=view):
     number = F.regexp_extract("line", sections.TITLE_LINE, 1)
-    return _paper_lines(spark, d).select("doc_id", "pos", number.alias("numbering")).where("numbering <> ''").withColumn("level", sections.header_level(F.col("numbering")).cast("bigint"))
+    return _paper_lines(spark, d, view).select("doc_id", "pos", number.alias("numbering")).where("numbering <> ''").withColumn("level", sections.header_level(F.col("numbering")).cast("bigint"))
 
 
-def q_section_title(spark, d):
-    return _paper_lines(spark, d).select("doc_id", "pos", sections.is_section_title(F.col("line")).alias("is_title"))
+def q_section_title(spark, d, view=view):
+    return _paper_lines(spark, d, view).select("doc_id", "pos", sections.is_section_title(F.col("line")).alias("is_title"))
 
 
-def q_references_split(spark, d):
+def q_references_split(spark, d, view=view):
     return view(spark, d, "papers").select("doc_id", citations.split_references(F.col("md")).alias("p")).select("doc_id", "p.body", "p.refs")
 
 
-def q_reference_count(spark, d):
+def q_reference_count(spark, d, view=view):
     return view(spark, d, "papers").select("doc_id", bibliography.reference_count(F.col("md")).alias("n"))
 
 
-def q_figure_map(spark, d):
+def q_figure_map(spark, d, view=view):
     return figures.figure_files(view(spark, d, "images"), "doc_id", "ord", "filename")
 
 
-def q_embed_figures(spark, d):
-    return _with_images(spark, d).select("doc_id", figures.process_figures(F.col("md"), F.col("files")).alias("md"))
+def q_embed_figures(spark, d, view=view):
+    return _with_images(spark, d, view).select("doc_id", figures.process_figures(F.col("md"), F.col("files")).alias("md"))
 
 
-def q_relocate_figures(spark, d):
-    return q_embed_figures(spark, d).select("doc_id", rules.relocate_figures(F.col("md")).alias("md"))
+def q_relocate_figures(spark, d, view=view):
+    return q_embed_figures(spark, d, view).select("doc_id", rules.relocate_figures(F.col("md")).alias("md"))
 
 
-def q_unembedded_figures(spark, d):
+def q_unembedded_figures(spark, d, view=view):
     papers = view(spark, d, "papers").select("doc_id", F.regexp_replace("md", r"Fig\. ([0-9])", "![Figure $1](x)").alias("md"))
-    return figures.unembedded_figures(papers, "doc_id", "md", q_figure_map(spark, d))
+    return figures.unembedded_figures(papers, "doc_id", "md", q_figure_map(spark, d, view))
 
 
-def q_process_markdown(spark, d):
-    return _with_images(spark, d).select("doc_id", process_markdown(F.col("md"), F.col("files")).alias("md"))
+def q_process_markdown(spark, d, view=view):
+    return _with_images(spark, d, view).select("doc_id", process_markdown(F.col("md"), F.col("files")).alias("md"))
 
 
-def q_image_filter(spark, d):
+def q_image_filter(spark, d, view=view):
     kept = F.explode(enrich.kept_pictures(F.col("pictures"))).alias("k")
-    return _parsed(spark, d).select("doc_id", kept).select("doc_id", F.col("k.num").cast("bigint").alias("num"), "k.filename")
+    return _parsed(spark, d, view).select("doc_id", kept).select("doc_id", F.col("k.num").cast("bigint").alias("num"), "k.filename")
 
 
-def q_code_blocks(spark, d):
-    return _parsed(spark, d).select("doc_id", F.explode(enrich.code_blocks(F.col("texts"))).alias("b")).select("doc_id", "b.text", "b.language", "b.page", "b.context")
+def q_code_blocks(spark, d, view=view):
+    return _parsed(spark, d, view).select("doc_id", F.explode(enrich.code_blocks(F.col("texts"))).alias("b")).select("doc_id", "b.text", "b.language", "b.page", "b.context")
 
 
-def q_equations(spark, d):
-    return _parsed(spark, d).select("doc_id", F.explode(enrich.equations(F.col("equations"), F.col("formulas"))).alias("e")).select("doc_id", "e.latex", "e.text", "e.page")
+def q_equations(spark, d, view=view):
+    return _parsed(spark, d, view).select("doc_id", F.explode(enrich.equations(F.col("equations"), F.col("formulas"))).alias("e")).select("doc_id", "e.latex", "e.text", "e.page")
 
 
-def q_figure_info(spark, d):
-    return _parsed(spark, d).select("doc_id", F.explode(enrich.figures(F.col("pictures"), F.col("texts"))).alias("f")).select("doc_id", "f.*").drop("description")
+def q_figure_info(spark, d, view=view):
+    return _parsed(spark, d, view).select("doc_id", F.explode(enrich.figures(F.col("pictures"), F.col("texts"))).alias("f")).select("doc_id", "f.*").drop("description")
 
 
-def q_doc_metadata(spark, d):
-    return _parsed(spark, d).select("doc_id", enrich.enrichments()["metadata"].alias("m")).select("doc_id", "m.*")
+def q_doc_metadata(spark, d, view=view):
+    return _parsed(spark, d, view).select("doc_id", enrich.enrichments()["metadata"].alias("m")).select("doc_id", "m.*")
 
 
-def q_enrichment_json(spark, d):
+def q_enrichment_json(spark, d, view=view):
     from quire.sinks.export import enrichment_json
 
-    return _parsed(spark, d).select("doc_id", enrich.enrichments().alias("enrichments")).select("doc_id", enrichment_json().alias("json"))
+    return _parsed(spark, d, view).select("doc_id", enrich.enrichments().alias("enrichments")).select("doc_id", enrichment_json().alias("json"))
 
 
 def q_conversion_status(spark, d):
@@ -168,6 +170,12 @@ def q_line_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("bigint").alias("n"))
 
 
+#: Queries other than the text operators that read the views papers or texts.
+WHOLE_TEXTS = (
+    "header_level", "section_title", "references_split", "reference_count", "embed_figures", "relocate_figures", "unembedded_figures", "process_markdown", "code_blocks", "equations", "figure_info", "doc_metadata", "enrichment_json",
+)
+
+
 def queries() -> dict[str, Query]:
     """Core queries by name."""
     text_ops = {
@@ -178,8 +186,11 @@ def queries() -> dict[str, Query]:
         "lettered_headings": rules.lettered_headings, "merge_paragraphs": rules.merge_paragraphs, "drop_placeholders": rules.drop_placeholders, "drop_caption_noise": rules.drop_caption_noise,
     }
     own = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
+    # the queries that read texts, over whole ones; they have no SQL
+    whole = {f"whole_{n}": _text(op, whole_view) for n, op in text_ops.items()}
+    whole |= {f"whole_{n}": partial(own[n], view=whole_view) for n in WHOLE_TEXTS}
     ready = lambda f: lambda spark, d: f(ensure_importable(spark), d)
-    return {n: ready(f) for n, f in {**{n: _text(op) for n, op in text_ops.items()}, **own}.items()}
+    return {n: ready(f) for n, f in {**{n: _text(op) for n, op in text_ops.items()}, **own, **whole}.items()}
 
 
 def oracle_sql() -> dict[str, str]:

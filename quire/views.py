@@ -6,6 +6,7 @@ these views put each of them around every text."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PAPERS = """
 select doc_id, concat(
@@ -36,6 +37,8 @@ TEXTS = """
 select d.doc_id, v.idx, substring(coalesce(d.text, ''), v.idx * 20 + 1, 20) as text,
  case when (d.doc_id + v.idx) % 4 = 0 then 'python' when (d.doc_id + v.idx) % 4 = 1 then '' else null end as code_language, cast(floor(v.idx / 2.0) + 1 as int) as page_no
 from documents d cross join (values (0),(1),(2),(3),(4)) v(idx)"""
+#: The same with every character of the text, for Spark only: DuckDB reads the excerpts above.
+WHOLE = {"papers": PAPERS.replace("''), 61, 40)", "''), 61)"), "texts": TEXTS.replace("v.idx * 20 + 1, 20)", "v.idx * 20 + 1, case when v.idx < 4 then 20 else length(coalesce(d.text, '')) end)")}
 ALL = {"papers": PAPERS, "images": IMAGES, "pictures": PICTURES, "texts": TEXTS}
 
 
@@ -46,6 +49,29 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(ALL[name].replace("from documents", "from {documents}"), documents=table(spark, sf_dir, "documents"))
 
 
+def whole_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view over whole texts: those of the documents, and for papers and images also the markdown of every raw and final paper.
+
+    The doc_id of papers and images is the table's name and the record's id."""
+    from quire.tables import table
+
+    sql = WHOLE.get(name, ALL[name]).replace("from documents", "from {documents}")
+    documents = table(spark, sf_dir, "documents")
+    if name not in ("papers", "images"):
+        return spark.sql(sql, documents=documents)
+    parts = []
+    for t, key in (("documents", "doc_id"), ("paper_raw", "paper_id"), ("paper_md", "paper_id")):
+        rows = table(spark, sf_dir, t)
+        if name == "images":
+            part = spark.sql(sql, documents=rows.select(F.col(key).alias("doc_id")).distinct())
+        elif t == "documents":
+            part = spark.sql(sql, documents=documents)
+        else:
+            part = rows.select(F.col(key).alias("doc_id"), F.coalesce("md_content", F.lit("")).alias("md"))
+        parts.append(part.withColumn("doc_id", F.concat(F.lit(f"{t}/"), F.col("doc_id").cast("string"))))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def with_views(sql: str, *names: str) -> str:
     """SQL for DuckDB with the views it uses in front."""
     return "with " + ",\n".join(f"{n} as ({ALL[n]})" for n in names) + "\n" + sql
