@@ -70,10 +70,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return link_names(authors.unionByName(pub.select(F.lit("venue").alias("field"), F.col("venue").alias("name"))))
 
 
-def p3_pieces(spark: SparkSession, d: str, with_text: bool = False) -> DataFrame:
-    """Pieces of every final paper under its limit, with their places."""
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of every final paper under its limit, with their places and text; each repeats the end of the one before."""
     size, overlap = limit_of(_t(spark, d, "chunk_limit"), "paper_md")
-    return split_oversized(_t(spark, d, "paper_md"), "paper_id", "md_content", size, overlap, with_text).distinct()
+    return split_oversized(_t(spark, d, "paper_md"), "paper_id", "md_content", size, overlap).distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
