@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.chunking import limit_of, split_oversized
-from quire.llm.confusables import look_alike_pairs
+from quire.llm.confusables import consistent_form, look_alike_pairs
 from quire.llm.leakage import leaked_items
 from quire.llm.mixing import mix, shares, token_counts
 from quire.llm.mojibake import repair_encoding
@@ -34,11 +34,20 @@ def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
     return sentence_units(_t(spark, d, "paper_md"), "paper_id", "md_content")
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """(tbl, id_a, id_b): records that read the same but differ in characters."""
+def _p5_texts(spark: SparkSession, d: str) -> DataFrame:
     raw = _t(spark, d, "paper_raw").select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("id"), F.col("md_content").alias("text"))
     fig = _t(spark, d, "figure_info").select(F.lit("figure_info").alias("tbl"), F.col("fig_key").alias("id"), F.col("caption").alias("text"))
-    return look_alike_pairs(raw.unionByName(fig), ["tbl"], "id", "text")
+    return raw.unionByName(fig)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, id_a, id_b): records that read the same but differ in characters."""
+    return look_alike_pairs(_p5_texts(spark, d), ["tbl"], "id", "text")
+
+
+def p5_consistent(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, id, text): every raw paper and caption in its consistent form; a record without text keeps its null."""
+    return _p5_texts(spark, d).select("tbl", "id", consistent_form(F.col("text")).alias("text")).distinct()
 
 
 def _p1_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -57,10 +66,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_kept(spark: SparkSession, d: str) -> DataFrame:
-    """(tbl, records): how many records with text are left once those with residue are excluded."""
+    """(tbl, rec_id, text): the records with text that are left once those with residue are excluded."""
     records, found = _p1_units(spark, d)
-    kept = without_residue(records.select("tbl", "rec_id").where("text is not null and text <> ''").distinct(), ["tbl", "rec_id"], found)
-    return kept.groupBy("tbl").agg(F.count("*").alias("records"))
+    return without_residue(records.where("text is not null and text <> ''").distinct(), ["tbl", "rec_id"], found)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +134,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Training-data queries by name."""
-    found = (p1_found, p1_kept, p2_found, p3_found, p3_pieces, p4_found, p4_sentences, p5_found, p6_found, p6_repaired, p7_found, p8_mix, p8_shares, p9_found, p9_restored)
+    found = (p1_found, p1_kept, p2_found, p3_found, p3_pieces, p4_found, p4_sentences, p5_found, p5_consistent, p6_found, p6_repaired, p7_found, p8_mix, p8_shares, p9_found, p9_restored)
     return {f.__name__: f for f in found}
 
 
