@@ -185,3 +185,11 @@ def test_doubtful_words(spark):
         counts = {"node": 210 * size, "n0de": 10 * size, "hat": 100 * size, "bat": 100 * size, "the": 900 * size}
         words = spark.createDataFrame(list(counts.items()), "word string, n long")
         assert [r["word"] for r in scanfix.doubtful_words(words, counts).collect()] == ["n0de"]
+
+
+def test_words_beyond_the_lexicon_limit(spark, monkeypatch):
+    words = "the lightweight metadata service keeps approximately seven megabytes of state per node while producer-consumer workflows dominate over a congested fabric and latency grows with clients"
+    clean = [(f"# Study {i}\n\n" + (words + ". ") * 4 + "\n\n" + (words + ". ") * 3) for i in range(60)]
+    monkeypatch.setattr(scanfix, "LEXICON_LIMIT", 12)
+    noise, corrections = scanfix.page_noise(spark.createDataFrame(list(enumerate(clean)), "id bigint, t string"), ["id"], "t")
+    assert corrections.collect() == [] and noise.where("noise = 'misread'").count() == 0
