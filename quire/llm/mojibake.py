@@ -367,13 +367,9 @@ def pair_table(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-#: Most entries of the pair table that are sent to the driver; beyond it the rarest pairs count as unseen.
-PAIR_LIMIT = 400_000
-
-
 def repair_encoding(df: DataFrame, record: str, text: str) -> DataFrame:
     """Rows (record, garbled, restored_text, fully_restored) of the texts that are not ASCII."""
-    rows = pair_table(df, text).orderBy(F.desc("n"), "pair").limit(PAIR_LIMIT).toPandas()
+    rows = pair_table(df, text).toPandas()
     shared = df.sparkSession.sparkContext.broadcast((rows["pair"].to_numpy(), rows["n"].to_numpy()))
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

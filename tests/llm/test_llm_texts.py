@@ -193,3 +193,13 @@ def test_words_beyond_the_lexicon_limit(spark, monkeypatch):
     monkeypatch.setattr(scanfix, "LEXICON_LIMIT", 12)
     noise, corrections = scanfix.page_noise(spark.createDataFrame(list(enumerate(clean)), "id bigint, t string"), ["id"], "t")
     assert corrections.collect() == [] and noise.where("noise = 'misread'").count() == 0
+
+
+def test_every_pair_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(mojibake, "PAIR_LIMIT", 3, raising=False)  # no such limit may matter
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or send(self, value))
+    df = spark.createDataFrame(list(enumerate(CLEAN)), "id bigint, t string")
+    mojibake.repair_encoding(df, "id", "t")
+    pairs = {r["pair"]: r["n"] for r in mojibake.pair_table(df, "t").collect()}
+    assert len(pairs) > 3 and [dict(zip(*v, strict=True)) for v in sent] == [pairs]
