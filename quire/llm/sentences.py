@@ -9,7 +9,7 @@ the mark and undoing the placeholders restores the text.
 
 Defined results: null and empty documents have no units; whitespace between
 units belongs to none; a document of any length is handled with one pass per
-pattern (look-ahead inside quotations is bounded by QUOTE_REACH characters).
+pattern.
 Private-use characters already in a text are set aside as noncharacters
 U+FDD0..U+FDD3 and restored; a text that holds those noncharacters itself gets
 private-use ones back in their place (positions are unaffected).
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 BOUNDARY, DOT, GUARD = "\ue000", "\ue001", "\ue002"
 _RESERVED, _ASIDE = "\ue000\ue001\ue002", "\ufdd0\ufdd1\ufdd2"
-QUOTE_REACH = 400
 #: Blocks that begin so hold no prose.
 NO_PROSE = r"^\s*(?:#|\||```|!\[|<a)"
 #: A block that begins so is one unit.
@@ -42,10 +41,10 @@ MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|Nove
 _TERMINATORS = ".!?。！？।؟"
 _CLOSERS = "”»’」』）)\"'\\]"
 _QUOTES = '"“”„«»「」『』()（）'
-#: Openers of a quotation or bracket that closes within QUOTE_REACH characters.
+#: Openers of a quotation or bracket that closes within its block; the search ends at the next mark of its kind, so all searches together are linear.
 _OPENER = (
-    rf'(?:(?<![^\s(\[])"(?=[^\s"][^"]{{0,{QUOTE_REACH}}}")|[“„](?=[^“”„]{{1,{QUOTE_REACH}}}[”“])|«(?=[^«»]{{1,{QUOTE_REACH}}}»)'
-    rf"|「(?=[^「」]{{1,{QUOTE_REACH}}}」)|『(?=[^『』]{{1,{QUOTE_REACH}}}』)|\((?=[^()]{{1,{QUOTE_REACH}}}\))|（(?=[^（）]{{1,{QUOTE_REACH}}}）))"
+    rf'(?:(?<![^\s(\[])"(?=[^\s"][^"]*+")|[“„](?=[^“”„]++[”“])|«(?=[^«»]++»)'
+    rf"|「(?=[^「」]++」)|『(?=[^『』]++』)|\((?=[^()]++\))|（(?=[^（）]++）))"
 )
 
 _WORD_START = rf"(?<![\p{{L}}\p{{M}}\p{{N}}.{DOT}])"

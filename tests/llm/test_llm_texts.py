@@ -203,3 +203,10 @@ def test_every_pair_is_counted(spark, monkeypatch):
     mojibake.repair_encoding(df, "id", "t")
     pairs = {r["pair"]: r["n"] for r in mojibake.pair_table(df, "t").collect()}
     assert len(pairs) > 3 and [dict(zip(*v, strict=True)) for v in sent] == [pairs]
+
+
+def test_long_quotations(spark):
+    inner = "It ran well. " * 60
+    texts = [f'They wrote {a}{inner.strip()}{b} and left. Then it ended.' for a, b in ('""', "“”", "«»", "()")]
+    rows = sentence_units(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").collect()
+    assert sorted(r["id"] for r in rows) == [0, 0, 1, 1, 2, 2, 3, 3]
