@@ -49,11 +49,24 @@ def citation_source() -> Column:
 
 def summary_block() -> Column:
     """Markdown of one publication in the summary."""
-    text = lambda name, default: F.coalesce(F.col(name).cast("string"), lit(default))
-    return F.concat(
-        lit("## "), text("title", "Untitled"), lit("\n\n- Year: "), text("year", "N/A"), lit("\n- Type: "), text("type", "unknown"), lit("\n- Venue: "), text("venue", "N/A"), lit("\n- Authors: "), F.coalesce(F.array_join("authors", ", "), lit("N/A")),
-        lit("\n- PDF: "), F.coalesce(F.nullif(F.col("links")["pdf"], lit("")), lit("N/A")), lit("\n- Citation: "), F.coalesce(citation_source()["url"], lit("N/A")), lit("\n"),
-    )
+    given = lambda name, default: F.coalesce(F.col(name).cast("string"), lit(default))
+    pdf = F.coalesce(F.nullif(F.col("links")["pdf"], lit("")), lit("N/A"))
+    facts = {"Year": given("year", "N/A"), "Venue": given("venue", "N/A"), "Slug": given("slug", "unknown"), "PDF": pdf, "Citation": F.coalesce(citation_source()["url"], lit("N/A"))}
+    return F.concat(lit("## "), given("title", "Untitled"), lit("\n\n"), *[x for k, v in facts.items() for x in (lit(f"- **{k}:** "), v, lit("\n"))], lit("\n---\n\n"))
+
+
+def downloads() -> Column:
+    """The files wanted for one publication: (kind, url, file, label); a missing address is null and has no file.
+
+    Files are named by slug; citations end in .bib or .txt; the label shows the first 50 characters of the title."""
+    slug, title = F.coalesce("slug", lit("unknown")), F.left(F.coalesce("title", lit("Untitled")), F.lit(50))
+    pdf, citation = F.nullif(F.col("links")["pdf"], lit("")), citation_source()
+
+    def wanted(kind: str, url: Column, file: Column) -> Column:
+        label = F.when(url.isNotNull(), F.concat(lit(f"Downloading {kind}: "), title, lit("..."))).otherwise(F.concat(lit(f"  No {kind} link for: "), title))
+        return F.struct(lit(kind.lower()).alias("kind"), url.alias("url"), F.when(url.isNotNull(), file).alias("file"), label.alias("label"))
+
+    return F.array(wanted("PDF", pdf, F.concat(lit("pdfs/"), slug, lit(".pdf"))), wanted("citation", citation["url"], F.concat(lit("citations/"), slug, citation["extension"])))
 
 
 def download_stats(outcomes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import S, let, lines, lit, unlines
 from quire.operators.citations import split_after_heading
 
+# What an entry begins with.
 ENTRY = rf"^{S}*(?:<a[^>]*></a>)?(?:-{S}*)?\[(\d{{1,3}})\]"
 _ANY_ENTRY = rf"(?m)^{S}*(?:<a[^>]*></a>)?\[([0-9]+)\]"
 

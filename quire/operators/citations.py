@@ -9,8 +9,9 @@ from quire.functions.text import S, let, lit, sub
 
 #: Longest range that is spelled out; longer ones stay as they are.
 MAX_RANGE = 10_000
+# A range of citations, and the headings of references by priority.
 _RANGE = rf"\[([0-9]+)\]{S}*[-–—]{S}*\[([0-9]+)\]"
-#: References headings by priority; the first kind that occurs wins, wherever it stands.
+#: The first kind that occurs wins, wherever it stands.
 HEADINGS = tuple(rf"^{h}{S}*$" for h in ("## References", "## REFERENCES", "# References", "References"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.text import WS, lines, lit, sub, unlines
+from quire.functions.text import S, WS, lines, lit, sub, unlines
 
 # Joined letters and the dash that are spelled out.
 SPELLED_OUT = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st", "–": "-"}
@@ -35,4 +35,4 @@ def cleanup_text(c: Column) -> Column:
 
 def join_hyphenated(c: Column) -> Column:
     """Words hyphenated over a line break joined, the indent of the second line dropped."""
-    return sub(c, r"(?U)(\w+)-\n(?:\s*)([a-z]\w*)", "$1$2")
+    return sub(c, rf"([\p{{L}}\p{{N}}_]+)-\n{S}*([a-z][\p{{L}}\p{{N}}_]*)", "$1$2")

@@ -51,7 +51,14 @@ def figure_files(images: DataFrame, document: str, order: str, name: str) -> Dat
     return images.withColumn("num", file_number(F.col(name))).where("num is not null").groupBy(document, "num").agg(F.max_by(name, order).alias("filename"))
 
 
+def unembedded(text: Column, files: Column) -> Column:
+    """Array of (num, filename), by number, of the figures with a file that the text does not embed."""
+    embedded = F.transform(F.regexp_extract_all(text, lit(EMBEDDED), F.lit(1)), lambda n: n.try_cast("int"))
+    entries = F.array_sort(F.transform(F.map_entries(figure_map(files)), lambda e: F.struct(e["key"].alias("num"), e["value"].alias("filename"))))
+    return F.filter(entries, lambda e: ~F.array_contains(embedded, e["num"]))
+
+
 def unembedded_figures(docs: DataFrame, document: str, text: str, files: DataFrame) -> DataFrame:
-    """Rows of ``files`` (document, num, filename) whose figure the text does not embed."""
+    """The same as rows: those of ``files`` (document, num, filename) whose figure the text does not embed."""
     embedded = docs.select(document, F.explode(F.array_distinct(F.regexp_extract_all(text, lit(EMBEDDED), F.lit(1)))).alias("num")).select(document, F.col("num").try_cast("int").alias("num"))
     return files.join(embedded, [document, "num"], "left_anti")

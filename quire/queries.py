@@ -1,4 +1,7 @@
-"""Registry of the core queries and their SQL equivalents."""
+"""Registry of the core queries and their SQL equivalents.
+
+The text queries run over the view papers, and as ``md_…`` over the manuscripts:
+the whole markdown of every raw and final paper."""
 
 from __future__ import annotations
 
@@ -10,132 +13,111 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import lines
 from quire.operators import batch, bibliography, citations, cleanup, enrich, figures, rules, sections
-from quire.oracle import ORACLE
+from quire.oracle import oracle
+from quire.plans.batch import summary_log
 from quire.plans.pipeline import process_markdown
+from quire.plans.publications import summary
 from quire.runtime import ensure_importable
 from quire.tables import table
-from quire.views import view, whole_view
+from quire.views import images, manuscripts, papers, parsed_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
-View = Callable[[SparkSession, str, str], DataFrame]
-
-
-def _text(op: Callable[[Column], Column], view: View = view) -> Query:
-    """A query that applies one text operator to every paper."""
-    return lambda spark, d: view(spark, d, "papers").select("doc_id", op(F.col("md")).alias("md"))
-
-
-def _with_images(spark: SparkSession, d: str, view: View = view) -> DataFrame:
-    papers = view(spark, d, "papers")
-    listing = view(spark, d, "images").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "filename"))), lambda x: x["filename"]).alias("files"))
-    return papers.join(listing, "doc_id", "left")
 
+TEXT_OPERATORS: dict[str, Callable[[Column], Column]] = {
+    "ligatures": cleanup.spell_out_ligatures, "blank_lines": cleanup.limit_blank_lines, "rstrip_lines": cleanup.strip_line_ends, "cleanup_text": cleanup.cleanup_text, "dehyphenate": cleanup.join_hyphenated,
+    "abstract_header": sections.abstract_heading, "index_terms_header": sections.index_terms_heading, "hierarchical_sections": sections.hierarchical_headings, "numbered_bullets": sections.numbered_bullets, "process_sections": sections.process_sections,
+    "citation_ranges": citations.expand_ranges, "link_citations": citations.link_citations, "reference_anchors": citations.anchor_references, "process_citations": citations.process_citations,
+    "bibliography_spacing": bibliography.space_entries, "process_bibliography": bibliography.process_bibliography,
+    "lettered_headings": rules.lettered_headings, "merge_paragraphs": rules.merge_paragraphs, "drop_placeholders": rules.drop_placeholders, "drop_caption_noise": rules.drop_caption_noise,
+}
 
-def _parsed(spark: SparkSession, d: str, view: View = view) -> DataFrame:
-    """Nested parsed documents of the flat views."""
-    prov = lambda p: F.when(F.col(p).isNotNull(), F.array(F.struct(F.col(p).alias("page_no"))))
-    items = F.struct("idx", F.struct("text", "code_language", prov("page_no").alias("prov"), F.lit(None).cast("int").alias("page")).alias("item"))
-    texts = view(spark, d, "texts").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(items)), lambda x: x["item"]).alias("texts"))
-    pictures = view(spark, d, "pictures").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "width", "height", "class_name", "confidence", "caption_cref", "page_no"))).alias("flat"))
-    nested = F.transform(
-        "flat",
-        lambda p: F.struct(
-            F.lit(b"x").alias("image"), p["width"].alias("width"), p["height"].alias("height"), F.lit(None).cast("string").alias("caption_text"), F.array(F.struct(p["caption_cref"].alias("cref"))).alias("captions"),
-            F.array(F.struct(F.lit("classification").alias("kind"), F.lit(None).cast("string").alias("text"), F.when(p["class_name"].isNotNull(), F.array(F.struct(p["class_name"].alias("class_name"), p["confidence"].alias("confidence")))).alias("predicted_classes"))).alias("annotations"),
-            F.when(p["page_no"].isNotNull(), F.array(F.struct(p["page_no"].alias("page_no")))).alias("prov"), F.lit(None).cast("int").alias("page"),
-        ),
-    )
-    none = F.array().cast(f"array<{enrich.EQUATION}>")
-    return (
-        texts.join(pictures.select("doc_id", nested.alias("pictures")), "doc_id")
-        .withColumn("source", F.concat(F.lit("/in/paper-"), F.col("doc_id").cast("string"), F.lit(".pdf")))
-        .withColumn("title", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Title "), F.col("doc_id").cast("string"))))
-        .withColumn("num_pages", (F.col("doc_id") % 30).cast("int"))
-        .withColumn("equations", none)
-        .withColumn("formulas", F.transform("texts", lambda t: F.struct(F.lit(None).cast("string").alias("latex"), t["text"].alias("original"), t["text"].alias("text"), t["prov"].alias("prov"), t["page"].alias("page"))))
-    )
 
+def _text(op: Callable[[Column], Column]) -> Callable[[DataFrame], DataFrame]:
+    return lambda rows: rows.select("doc_id", op(F.col("md")).alias("md"))
 
-def _paper_lines(spark: SparkSession, d: str, view: View = view) -> DataFrame:
-    return view(spark, d, "papers").select("doc_id", F.posexplode(lines(F.col("md"))).alias("pos", "line"))
 
-
-def _publications(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "publication").dropDuplicates(["pub_id"])
+def _paper_lines(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", F.posexplode(lines(F.col("md"))).alias("pos", "line"))
 
 
-def q_header_level(spark, d, view=view):
+def t_header_level(rows):
     number = F.regexp_extract("line", sections.TITLE_LINE, 1)
-    return _paper_lines(spark, d, view).select("doc_id", "pos", number.alias("numbering")).where("numbering <> ''").withColumn("level", sections.header_level(F.col("numbering")).cast("bigint"))
+    return _paper_lines(rows).select("doc_id", "pos", number.alias("numbering")).where("numbering <> ''").withColumn("level", sections.header_level(F.col("numbering")).cast("bigint"))
 
 
-def q_section_title(spark, d, view=view):
-    return _paper_lines(spark, d, view).select("doc_id", "pos", sections.is_section_title(F.col("line")).alias("is_title"))
+def t_section_title(rows):
+    return _paper_lines(rows).select("doc_id", "pos", sections.is_section_title(F.col("line")).alias("is_title"))
 
 
-def q_references_split(spark, d, view=view):
-    return view(spark, d, "papers").select("doc_id", citations.split_references(F.col("md")).alias("p")).select("doc_id", "p.body", "p.refs")
+def t_references_split(rows):
+    return rows.select("doc_id", citations.split_references(F.col("md")).alias("p")).select("doc_id", "p.body", "p.refs")
 
 
-def q_reference_count(spark, d, view=view):
-    return view(spark, d, "papers").select("doc_id", bibliography.reference_count(F.col("md")).alias("n"))
+def t_reference_count(rows):
+    return rows.select("doc_id", bibliography.reference_count(F.col("md")).alias("n"))
 
 
-def q_figure_map(spark, d, view=view):
-    return figures.figure_files(view(spark, d, "images"), "doc_id", "ord", "filename")
+def t_figure_map(rows):
+    return figures.figure_files(images(rows), "doc_id", "ord", "filename")
 
 
-def q_embed_figures(spark, d, view=view):
-    return _with_images(spark, d, view).select("doc_id", figures.process_figures(F.col("md"), F.col("files")).alias("md"))
+def t_embed_figures(rows):
+    return rows.select("doc_id", figures.process_figures(F.col("md"), F.col("files")).alias("md"))
 
 
-def q_relocate_figures(spark, d, view=view):
-    return q_embed_figures(spark, d, view).select("doc_id", rules.relocate_figures(F.col("md")).alias("md"))
+def t_relocate_figures(rows):
+    return t_embed_figures(rows).select("doc_id", rules.relocate_figures(F.col("md")).alias("md"))
 
 
-def q_unembedded_figures(spark, d, view=view):
-    papers = view(spark, d, "papers").select("doc_id", F.regexp_replace("md", r"Fig\. ([0-9])", "![Figure $1](x)").alias("md"))
-    return figures.unembedded_figures(papers, "doc_id", "md", q_figure_map(spark, d, view))
+def t_unembedded_figures(rows):
+    marked = rows.select("doc_id", F.regexp_replace("md", r"Fig\. ([0-9])", "![Figure $1](x)").alias("md"), "files")
+    missing = figures.unembedded(F.col("md"), F.col("files"))
+    return marked.select("doc_id", F.posexplode(missing).alias("pos", "f")).select("doc_id", "pos", F.col("f.num").alias("num"), F.col("f.filename").alias("filename"))
 
 
-def q_process_markdown(spark, d, view=view):
-    return _with_images(spark, d, view).select("doc_id", process_markdown(F.col("md"), F.col("files")).alias("md"))
+def t_process_markdown(rows):
+    return rows.select("doc_id", process_markdown(F.col("md"), F.col("files")).alias("md"))
 
 
-def q_image_filter(spark, d, view=view):
+def q_image_filter(spark, d):
     kept = F.explode(enrich.kept_pictures(F.col("pictures"))).alias("k")
-    return _parsed(spark, d, view).select("doc_id", kept).select("doc_id", F.col("k.num").cast("bigint").alias("num"), "k.filename")
+    return parsed_documents(spark, d).select("doc_id", kept).select("doc_id", F.col("k.num").cast("bigint").alias("num"), "k.filename")
 
 
-def q_code_blocks(spark, d, view=view):
-    return _parsed(spark, d, view).select("doc_id", F.explode(enrich.code_blocks(F.col("texts"))).alias("b")).select("doc_id", "b.text", "b.language", "b.page", "b.context")
+def q_code_blocks(spark, d):
+    return parsed_documents(spark, d).select("doc_id", F.explode(enrich.code_blocks(F.col("texts"))).alias("b")).select("doc_id", "b.text", "b.language", "b.page", "b.context")
 
 
-def q_equations(spark, d, view=view):
-    return _parsed(spark, d, view).select("doc_id", F.explode(enrich.equations(F.col("equations"), F.col("formulas"))).alias("e")).select("doc_id", "e.latex", "e.text", "e.page")
+def q_equations(spark, d):
+    return parsed_documents(spark, d).select("doc_id", F.explode(enrich.equations(F.col("equations"), F.col("formulas"))).alias("e")).select("doc_id", "e.latex", "e.text", "e.page")
 
 
-def q_figure_info(spark, d, view=view):
-    return _parsed(spark, d, view).select("doc_id", F.explode(enrich.figures(F.col("pictures"), F.col("texts"))).alias("f")).select("doc_id", "f.*").drop("description")
+def q_figure_info(spark, d):
+    found = enrich.figures(F.col("pictures"), enrich.collections_of_document())
+    return parsed_documents(spark, d).select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.*")
 
 
-def q_doc_metadata(spark, d, view=view):
-    return _parsed(spark, d, view).select("doc_id", enrich.enrichments()["metadata"].alias("m")).select("doc_id", "m.*")
+def q_doc_metadata(spark, d):
+    return parsed_documents(spark, d).select("doc_id", enrich.enrichments()["metadata"].alias("m")).select("doc_id", "m.*")
 
 
-def q_enrichment_json(spark, d, view=view):
+def q_enrichment_json(spark, d):
     from quire.sinks.export import enrichment_json
 
-    return _parsed(spark, d, view).select("doc_id", enrich.enrichments().alias("enrichments")).select("doc_id", enrichment_json().alias("json"))
+    return parsed_documents(spark, d).select("doc_id", enrich.enrichments().alias("enrichments")).select("doc_id", enrichment_json().alias("json"))
 
 
 def q_conversion_status(spark, d):
-    raw = table(spark, d, "paper_raw").dropDuplicates(["paper_id"])
+    raw = table(spark, d, "paper_raw").select("paper_id", "status", "errors", "source").dropDuplicates(["paper_id"])
     return raw.select("paper_id", enrich.converted().alias("ok"), F.when(~enrich.converted(), enrich.failure_message()).alias("message"), enrich.file_stem(F.col("source")).alias("stem"))
 
 
+def _results(spark, d):
+    return table(spark, d, "batch_result").distinct()
+
+
 def q_batch_summary(spark, d):
-    out = batch.batch_summary(table(spark, d, "batch_result").distinct())
+    out = batch.batch_summary(_results(spark, d))
     return out.select("total", "successful", "failed", *[F.round(c, 4).alias(c) for c in ("seconds", "minutes", "avg_seconds")])
 
 
@@ -145,9 +127,12 @@ def q_batch_page(spark, d):
 
 
 def q_summary_log(spark, d):
-    r = table(spark, d, "batch_result").where("success is not null and duration is not null").distinct()
-    whole = F.round("duration").alias("duration")
-    return r.select("name", "success", whole).select(batch.summary_line(F.col("success"), F.col("duration"), F.col("name")).alias("line"))
+    """Parts and lines of the whole log, without its date."""
+    return summary_log(_results(spark, d), "/in", "/out").select("part", "line")
+
+
+def _publications(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "publication").dropDuplicates(["pub_id"])
 
 
 def q_publications(spark, d):
@@ -158,11 +143,18 @@ def q_publication_summary(spark, d):
     return _publications(spark, d).select("pub_id", batch.summary_block().alias("block"))
 
 
+def q_publications_file(spark, d):
+    """The blocks of summary.md."""
+    return summary(batch.papers_of(_publications(spark, d), "kat"), "Publications")
+
+
+def q_download_plan(spark, d):
+    return _publications(spark, d).select("pub_id", F.explode(batch.downloads()).alias("w")).select("pub_id", "w.kind", "w.url", "w.file", "w.label")
+
+
 def q_download_stats(spark, d):
-    pub = _publications(spark, d)
-    pdf = pub.select(F.lit("pdf").alias("kind"), F.coalesce(F.col("links")["pdf"], F.lit("")).alias("u"))
-    cit = pub.select(F.lit("citation").alias("kind"), F.coalesce(batch.citation_source()["url"], F.lit("")).alias("u"))
-    return batch.download_stats(pdf.unionByName(cit).select("kind", (F.col("u") != "").alias("ok")))
+    wanted = _publications(spark, d).select(F.explode(batch.downloads()).alias("w"))
+    return batch.download_stats(wanted.select("w.kind", F.col("w.url").isNotNull().alias("ok")))
 
 
 def q_line_counts(spark, d):
@@ -170,29 +162,16 @@ def q_line_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("bigint").alias("n"))
 
 
-#: Queries other than the text operators that read the views papers or texts.
-WHOLE_TEXTS = (
-    "header_level", "section_title", "references_split", "reference_count", "embed_figures", "relocate_figures", "unembedded_figures", "process_markdown", "code_blocks", "equations", "figure_info", "doc_metadata", "enrichment_json",
-)
-
-
 def queries() -> dict[str, Query]:
     """Core queries by name."""
-    text_ops = {
-        "ligatures": cleanup.spell_out_ligatures, "blank_lines": cleanup.limit_blank_lines, "rstrip_lines": cleanup.strip_line_ends, "cleanup_text": cleanup.cleanup_text, "dehyphenate": cleanup.join_hyphenated,
-        "abstract_header": sections.abstract_heading, "index_terms_header": sections.index_terms_heading, "hierarchical_sections": sections.hierarchical_headings, "numbered_bullets": sections.numbered_bullets, "process_sections": sections.process_sections,
-        "citation_ranges": citations.expand_ranges, "link_citations": citations.link_citations, "reference_anchors": citations.anchor_references, "process_citations": citations.process_citations,
-        "bibliography_spacing": bibliography.space_entries, "process_bibliography": bibliography.process_bibliography,
-        "lettered_headings": rules.lettered_headings, "merge_paragraphs": rules.merge_paragraphs, "drop_placeholders": rules.drop_placeholders, "drop_caption_noise": rules.drop_caption_noise,
-    }
-    own = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
-    # the queries that read texts, over whole ones; they have no SQL
-    whole = {f"whole_{n}": _text(op, whole_view) for n, op in text_ops.items()}
-    whole |= {f"whole_{n}": partial(own[n], view=whole_view) for n in WHOLE_TEXTS}
+    of_rows = {n: _text(op) for n, op in TEXT_OPERATORS.items()} | {n[2:]: f for n, f in globals().items() if n.startswith("t_")}
+    out: dict[str, Query] = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
+    over = lambda view, f, spark, d: f(view(spark, d))
+    out |= {n: partial(over, papers, f) for n, f in of_rows.items()} | {f"md_{n}": partial(over, manuscripts, f) for n, f in of_rows.items()}
     ready = lambda f: lambda spark, d: f(ensure_importable(spark), d)
-    return {n: ready(f) for n, f in {**{n: _text(op) for n, op in text_ops.items()}, **own, **whole}.items()}
+    return {n: ready(f) for n, f in out.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the core queries by name."""
-    return dict(ORACLE)
+    return oracle()

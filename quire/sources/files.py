@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,17 +13,17 @@ from pyspark.sql import types as T
 from quire.operators.enrich import DOCUMENT, file_stem
 
 PUBLICATION = "title string, year int, venue string, slug string, type string, authors array<string>, links map<string,string>, _source_file string"
-CONVERSION = f"path string, error string, document struct<{DOCUMENT.replace('doc_id bigint', 'doc_id: bigint')}>"
+CONVERSION = f"path string, error string, seconds double, document struct<{DOCUMENT.replace('doc_id bigint', 'doc_id: bigint')}>"
 
 
 class MissingBackend(RuntimeError):
     """A source needs a backend that was not given; raised when the plan is built."""
 
 
-def markdown_files(spark: SparkSession, path: str) -> DataFrame:
+def markdown_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(path, stem, md, valid): whole files with line ends as \\n; valid is false where the bytes are no UTF-8."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(path)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", recursive).load(path)
+    text = F.regexp_replace(F.expr("make_valid_utf8(cast(content as string))"), "\r\n?", "\n")
     return raw.select("path", file_stem(F.col("path")).alias("stem"), text.alias("md"), F.expr("is_valid_utf8(cast(content as string))").alias("valid"))
 
 
@@ -32,11 +33,11 @@ def pdf_files(spark: SparkSession, path: str, with_content: bool = False) -> Dat
     return (df if with_content else df.drop("content")).orderBy("path")
 
 
-def image_files(spark: SparkSession, path: str) -> DataFrame:
+def image_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """(path, filename, ord): PNG, then JPG, then JPEG files, each by name; an empty folder gives no row."""
     parts = []
     for rank, ext in enumerate(("png", "jpg", "jpeg")):
-        df = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}").load(path).drop("content")
+        df = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}").option("recursiveFileLookup", recursive).load(path).drop("content")
         name = F.regexp_extract("path", "([^/]+)$", 1)
         parts.append(df.select("path", name.alias("filename"), F.struct(F.lit(rank).alias("kind"), name.alias("name")).alias("ord")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -47,7 +48,7 @@ def convert_documents(pdfs: DataFrame, backend: Callable[[bytes, dict], dict] |
 
     ``backend`` takes a file's bytes and the options and returns the attributes of
     a document; it runs once per file for both the markdown and the enrichments.
-    An exception becomes the row's error."""
+    An exception becomes the row's error; seconds are those of the call."""
     if backend is None:
         raise MissingBackend("convert_documents needs a backend that parses PDF files")
 
@@ -55,25 +56,38 @@ def convert_documents(pdfs: DataFrame, backend: Callable[[bytes, dict], dict] |
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                began = time.perf_counter()
                 try:
-                    rows.append((path, None, backend(content, options)))
+                    error, document = None, backend(content, options)
                 except Exception as e:  # noqa: BLE001
-                    rows.append((path, str(e), None))
-            yield pd.DataFrame(rows, columns=["path", "error", "document"])
+                    error, document = str(e), None
+                rows.append((path, error, time.perf_counter() - began, document))
+            yield pd.DataFrame(rows, columns=["path", "error", "seconds", "document"])
 
     return pdfs.select("path", "content").mapInPandas(run, CONVERSION)
 
 
+def picture_descriptions(client: Callable[[bytes], str]) -> Callable:
+    """A column function: for an array of pictures, the client's texts; null pictures and errors give null."""
+
+    def told(image: bytes | None) -> str | None:
+        try:
+            return client(image) if image is not None else None
+        except Exception:  # noqa: BLE001
+            return None
+
+    @F.pandas_udf("array<string>")
+    def describe(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda images: None if images is None else [told(b) for b in images])
+
+    return describe
+
+
 def describe_pictures(pictures: DataFrame, client: Callable[[bytes], str] | None) -> DataFrame:
-    """``pictures`` with a column description from ``client``; without one it is null."""
+    """``pictures`` (image) with a column description from ``client``; without one it is null."""
     if client is None:
         return pictures.withColumn("description", F.lit(None).cast("string"))
-
-    @F.pandas_udf("string")
-    def describe(images: pd.Series) -> pd.Series:
-        return images.map(lambda b: client(b) if b is not None else None)
-
-    return pictures.withColumn("description", describe("image"))
+    return pictures.withColumn("description", picture_descriptions(client)(F.array("image"))[0])
 
 
 def yaml_catalogue(spark: SparkSession, path: str) -> DataFrame:

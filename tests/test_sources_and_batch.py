@@ -88,8 +88,107 @@ def test_convert_plan(spark, tmp_path):
 
     rows = convert.parsed(files.pdf_files(spark, str(tmp_path), with_content=True), backend)
     assert {r["stem"]: r["message"] for r in rows.collect()} == {"p": None, "q": "page 1", "r": "broken"}
-    out = convert.convert(rows, keep_raw=True, enrich=True, agent=lambda t: (t + "!", "done")).first()
+    options = convert.Options(keep_raw=True, enrich=True, agent=True)
+    out = convert.convert(rows, options, agent=lambda t: (t + "!", "done")).first()
     assert out["md"] == "## Abstract\n\nx\n\n![Figure 1](./img/figure1.png)\n\nFig. 1. c!" and out["md_raw"] == "Abstract -x\n\nFig. 1. c" and out["agent_summary"] == "done"
     assert out["enrichments"]["metadata"]["num_figures"] == 1
-    assert convert.convert(rows, raw=True).first()["md"] == "Abstract -x\n\nFig. 1. c"
+    assert convert.convert(rows, convert.Options(raw=True)).first()["md"] == "Abstract -x\n\nFig. 1. c"
+    assert convert.convert(rows, convert.Options(min_image_width=301)).first()["images"] == []
     assert batch.batch_summary(convert.results(rows)).first()["failed"] == 2
+
+
+def test_enrich_switches(spark):
+    picture = {"image": b"i", "width": 300, "height": 300, "area_share": 0.5, "annotations": [{"predicted_classes": [{"class_name": "bar", "confidence": 0.5}]}]}
+    small = picture | {"area_share": 0.01}
+    doc = {"source": "p.pdf", "status": "SUCCESS", "md": "x", "texts": [{"text": "print", "code_language": "python"}], "formulas": [{"latex": "x", "text": None}], "pictures": [picture, small]}
+    rows = spark.createDataFrame([doc], enrich.DOCUMENT).selectExpr("*", "'p' as stem", "true as ok")
+    on = convert.enrich(rows, convert.Options(describe=True), client=lambda b: "seen").first()["enrichments"]
+    assert [f["description"] for f in on["figures"]] == ["seen", None] and on["figures"][0]["classification"] == "bar (0.50)"
+    assert (on["equations"][0]["text"], on["metadata"]["num_code_blocks"]) == ("x", 1)
+    off = convert.enrich(rows, convert.Options(code=False, formulas=False, classify=False)).first()["enrichments"]
+    assert (off["code_blocks"], off["equations"], off["metadata"]["num_equations"], off["figures"][0]["classification"], off["figures"][0]["description"]) == ([], [], 0, None, None)
+
+
+def test_labels_and_references(spark):
+    label = lambda n, c: {"predicted_classes": [{"class_name": n, "confidence": c}]}
+    doc = {"pictures": [
+        {"annotations": [label("bar", 0.86), label(None, None), label("photo", None)], "captions": [{"cref": "#/tables/0"}, {"cref": "#/pictures/1"}, {"cref": "#/nothing/0"}, {"cref": "#/texts/x"}]},
+        {"markdown": "<pic>", "annotations": [label("bar", 0.0)], "captions": []},
+    ], "tables": [{"markdown": "| a |"}]}
+    f = spark.createDataFrame([doc], enrich.DOCUMENT).select(enrich.enrichments()["figures"].alias("f")).first()["f"]
+    assert [(x["classification"], x["caption"]) for x in f] == [("photo (0.86)", "| a | <pic>"), ("bar", "")]
+
+
+def test_batch_run(spark, tmp_path):
+    import quire
+
+    def backend(content, options):
+        if content == b"bad":
+            raise ValueError("broken")
+        return {"status": "SUCCESS", "md": "Abstract -x\n\nFig. 1. c", "source": "p.pdf", "texts": [{"text": "print", "code_language": "python"}], "pictures": [{"image": b"i", "width": 300, "height": 300}]}
+
+    (tmp_path / "in").mkdir()
+    for name, content in (("a", b"ok"), ("b", b"bad"), ("c", b"ok"), ("d", b"ok")):
+        (tmp_path / f"in/{name}.pdf").write_bytes(content)
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "out"), backend)
+    assert [r["name"] for r in quire.run_batch(*args, skip=1, limit=2, dry_run=True).collect()] == ["b.pdf", "c.pdf"] and not (tmp_path / "out").exists()
+    got = {r["name"]: r for r in quire.run_batch(*args, skip=1, limit=2).collect()}
+    assert {n: r["success"] for n, r in got.items()} == {"b.pdf": False, "c.pdf": True} and all(r["duration"] >= 0 for r in got.values())
+    out = tmp_path / "out"
+    assert (out / "c/c.md").read_text().startswith("## Abstract") and (out / "c/c_raw.md").read_text().startswith("Abstract -") and (out / "c/img/figure1.png").read_bytes() == b"i"
+    assert json.loads((out / "c/code_blocks.json").read_text())[0]["language"] == "python" and not (out / "c/equations.json").exists()
+    assert "# Status: FAILED" in (out / "logs/b.log").read_text() and "broken" in (out / "logs/b.log").read_text()
+    log = (out / "batch_summary.log").read_text().split("\n")
+    assert "Total PDFs: 2" in log and "Failed:     1" in log and any(l.startswith("[FAILED]") and l.endswith("s  b.pdf") for l in log) and log[-3:] == ["  - b.pdf", "    Log: logs/b.log", ""]
+
+
+def test_postprocess(spark, tmp_path):
+    import quire
+
+    for d in ("a", "b"):
+        (tmp_path / d / "img").mkdir(parents=True)
+        (tmp_path / d / f"{d}.md").write_text("Abstract -x\n\nFig. 1. c")
+    (tmp_path / "a/img/figure1.png").write_bytes(b"1")
+    (tmp_path / "bad.md").write_bytes(b"\xff\xfe")
+    got = {r["stem"]: r for r in quire.postprocess(spark, str(tmp_path)).collect()}
+    assert "![Figure 1]" in got["a"]["md"] and "![Figure 1]" not in got["b"]["md"] and got["b"]["md"].startswith("## Abstract") and not got["bad"]["valid"]
+    done = quire.agent_pass(quire.postprocess(spark, str(tmp_path)).where("valid"), lambda t: (t.upper(), "up"))
+    quire.write_back(done, str(tmp_path / "out"))
+    assert (tmp_path / "out/a.md").read_text().startswith("## ABSTRACT")
+    quire.write_back(quire.postprocess(spark, str(tmp_path), images=str(tmp_path / "a/img")).where("stem = 'b'"))
+    assert "![Figure 1]" in (tmp_path / "b/b.md").read_text()
+
+
+def test_publications_run(spark, tmp_path):
+    import quire
+
+    rows = [
+        ("T" * 60, 2020, "V", "s1", "journal", ["Kat, A."], {"pdf": "http://x/p", "bibtex": "http://x/b"}), (None, None, None, "s2", None, ["kat"], {"pdf": "http://x/bad", "citation": "http://x/c"}), ("Poster", 2021, "V", "s3", "POSTER", ["Kat"], {}), ("Other", 2021, "V", "s4", None, None, None),
+    ]
+    cat = spark.createDataFrame(rows, "title string, year int, venue string, slug string, type string, authors array<string>, links map<string,string>")
+
+    def client(url):
+        if url.endswith("bad"):
+            raise OSError("no")
+        return url.encode()
+
+    stats = {r["kind"]: (r["success"], r["failed"]) for r in quire.run_publications(cat, "Kat", str(tmp_path), client, "Own work").collect()}
+    assert stats == {"pdf": (1, 1), "citation": (2, 0)}
+    assert (tmp_path / "pdfs/s1.pdf").read_bytes() == b"http://x/p" and (tmp_path / "citations/s2.txt").exists() and (tmp_path / "citations/s1.bib").exists() and not (tmp_path / "pdfs/s2.pdf").exists()
+    text = (tmp_path / "summary.md").read_text()
+    assert text.startswith("# Own work\n\nTotal papers: 2\n\n---\n\n## TTT") and "## Untitled\n\n- **Year:** N/A\n- **Venue:** N/A\n- **Slug:** s2\n" in text
+    assert {r["kind"]: r["failed"] for r in quire.run_publications(cat, "Kat", str(tmp_path), None).collect()} == {"pdf": 2, "citation": 2}
+
+
+def test_pictures_are_described(spark):
+    df = spark.createDataFrame([(b"a",), (None,), (b"z",)], "image binary")
+
+    def client(b):
+        if b == b"z":
+            raise OSError("no")
+        return "picture"
+
+    assert [r["description"] for r in files.describe_pictures(df, client).collect()] == ["picture", None, None]
+    assert files.describe_pictures(df, None).where("description is null").count() == 3
+    with pytest.raises(files.MissingBackend):
+        files.fetch(df, None)
