@@ -1,12 +1,20 @@
 """Problem 7: held-out test items inside a training corpus.
 
 Size-partitioned MinHash containment search: stretches of STRETCH words of each
-item are the queries, windows of the documents the domains.  Windows are
-partitioned by their number of shingles; a partition's upper size turns the least
-containment of a query into a least Jaccard similarity and that into a least
-number of agreeing MinHash values.  Candidates are verified by the exact
-containment of the stretch's word shingles in the document, counted in at most
-two places.
+item are the queries, documents the domains.  A document of up to LARGEST shingles
+is one domain; a longer one is cut into parts of two neighbouring blocks, so that
+every part is small enough for a stretch to show in it.  Domains are partitioned by
+their number of shingles: a partition's upper size turns the least containment of
+a query into a least Jaccard similarity, and that into the number of MinHash values
+with which two of them agree with a probability of 0.995; so short documents are
+sketched with a third of the values that long ones take.
+
+Values of stretches are an inverted index, values of domains are joined to it: one
+pass over the documents for any number of items.  Before the join a bit map of
+fixed size, filled from the index, takes out the values that no stretch has, so
+hardly any value of a document without a test item is shuffled.  Pairs that agree in enough
+values are verified by the exact containment of the stretch's word
+shingles in the whole document, counted in at most two places.
 
 An exchanged, missing or added word every few words leaves no long shingle whole,
 so shingles are SHINGLE = 3 words (TESTDATA.md asks for stretches with such
@@ -15,217 +23,312 @@ edits; its sentence replaces the usual five words and 0.8).
 Defined results: null and empty texts and items of fewer than SHINGLE words
 match nothing; items shorter than STRETCH words are one stretch; an opening
 sentence that several items share counts as stock instruction and is left out;
-repeated rows count once.  Items are taken in blocks of ITEM_BLOCK; each block is
-small enough to be sent to every worker, whatever the number of items.
+repeated rows count once.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
-from zlib import crc32
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quire.runtime import broadcast_if_small, cut_lineage
 
 SHINGLE = 3
 STRETCH = 20
 STRIDE = 5
-#: Shingles of a document window are those of two neighbouring blocks of this many.
-BLOCK = 24
-HASHES = 128
-#: Windows are partitioned by size in steps of this many shingles.
-PARTITION = 8
-#: Least share of a stretch's shingles in one window (half of a stretch that stands in two places) and in the document.
-CONTAINMENT_WINDOW = 0.28
-CONTAINMENT = 0.5
+#: Upper sizes of the partitions of whole documents, in shingles.
+PARTITIONS = (24, 32, 48, 64, 96, 128, 192, 256, 384, 512)
+LARGEST = PARTITIONS[-1]
+#: Parts of longer documents are two neighbouring blocks of this many shingles.
+BLOCK = 32
+#: Least share of a stretch's shingles in the document, and in one part of a document that may hold the stretch in two places.
+CONTAINMENT, CONTAINMENT_PART = 0.5, 0.28
+#: Values in which a domain of its partition's upper size is expected to agree with a stretch that it holds, and by how many standard deviations fewer are enough.
+EXPECTED, DEVIATIONS = 20.0, 2.6
 #: Words that one of the places where a stretch stands may span.
 PLACE = 36
-ITEM_BLOCK = 2_000
+#: Bits of the map of index values; with more items it is fuller and takes out less.
+MAP_BITS = 25
+#: Most rows of two numbers (of the index, and candidate pairs) that are sent to the documents; more are joined by a shuffle.
+SENT_PAIRS = 2_000_000
 _TAG = re.compile(r"<[^<>\n]{1,60}>")
-_WORD = re.compile(r"[^\W_]+")
-_rng = np.random.default_rng(20)
-_A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
+_QUERY = STRETCH - SHINGLE + 1
 
 
-def words(text: str) -> list[str]:
-    """Lower-case words without mark-up and punctuation."""
-    return _WORD.findall(_TAG.sub(" ", text).lower())
+def values_needed(size: int, containment: float) -> int:
+    """MinHash values for domains of up to ``size`` shingles."""
+    both = containment * _QUERY
+    return int(np.ceil(EXPECTED * (_QUERY + size - both) / both))
 
 
-class _Hasher(dict):
-    """Word to 64-bit value."""
+def least_agreeing(sizes: np.ndarray, values: int, containment: float) -> np.ndarray:
+    """Agreeing values that a domain with the least containment has, but for one case in 200."""
+    both = containment * _QUERY
+    j = np.minimum(1.0, both / np.maximum(_QUERY + sizes - both, both))
+    return np.maximum(1, values * j - DEVIATIONS * np.sqrt(values * j * (1 - j))).astype(np.int32)
+
+
+#: MinHash values per partition; the last number is that of parts.
+VALUES = (*(values_needed(u, CONTAINMENT) for u in PARTITIONS), values_needed(2 * BLOCK, CONTAINMENT_PART))
+HASHES = max(VALUES)
+_rng = np.random.default_rng(20)
+_A = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
+_P, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-    def __missing__(self, word: str) -> int:
-        raw = word.encode("utf-8", "surrogatepass")
-        value = (crc32(raw) << 32 | crc32(raw, 0x9E3779B9)) & 0xFFFFFFFFFFFFFFFF
-        if len(self) < 500_000:
-            self[word] = value
-        return value
 
+@lru_cache(maxsize=1)
+def _word_characters() -> np.ndarray:
+    """Whether a code point belongs to a word; mark-up and punctuation do not."""
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), dtype=bool, count=0x110000)
 
-_hash = _Hasher()
 
+def shingle_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds): 64-bit values of the word shingles of all texts in order; those of text i stand between bounds i and i + 1.
 
-def shingles(text: str) -> np.ndarray:
-    """64-bit values of the word shingles of a text, in order."""
-    w = np.fromiter((_hash[x] for x in words(text)), dtype=np.uint64)
-    if len(w) < SHINGLE:
-        return np.empty(0, np.uint64)
+    All texts are one array of code points: words are runs of word characters, their
+    values polynomials of the characters."""
+    low = [(_TAG.sub(" ", t) if "<" in t else t).lower() for t in texts]
+    cp = np.frombuffer(("\n".join(low) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = _word_characters()[cp]
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        edge = np.append(0, edge)
+    starts, ends = edge[::2], edge[1::2]
+    text_ends = np.cumsum([len(t) + 1 for t in low])
+    if not len(starts):
+        return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    lengths = ends - starts
     with np.errstate(over="ignore"):
-        out = w[: len(w) - SHINGLE + 1].copy()
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(lengths.max()), _P, np.uint64)]))
+        letters = cp[inside].astype(np.uint64) + np.uint64(1)
+        first = np.cumsum(lengths) - lengths
+        letters *= power[np.arange(len(letters)) - np.repeat(first, lengths)]
+        w = np.add.reduceat(letters, first) * _MIX
+        w ^= w >> np.uint64(31)
+        owner = np.searchsorted(text_ends, starts, side="right")
+        whole = owner[SHINGLE - 1 :] == owner[: len(owner) - SHINGLE + 1]
+        out = w[: len(whole)].copy()
         for k in range(1, SHINGLE):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - SHINGLE + 1 + k]
+            out = out * _P + w[k : len(whole) + k]
             out ^= out >> np.uint64(29)
+    return out[whole], np.searchsorted(owner[: len(whole)][whole], np.arange(len(texts) + 1))
+
+
+def _folded(values: np.ndarray) -> np.ndarray:
+    return (values ^ (values >> np.uint64(32))).astype(np.uint32)
+
+
+def stretch_keys(shingles: np.ndarray) -> np.ndarray:
+    """Distinct MinHash values of the stretches of an item, a key being a value with the number of its hash."""
+    last = max(0, len(shingles) - _QUERY)
+    x = _folded(shingles)
+    keys = []
+    with np.errstate(over="ignore"):
+        for lo in sorted({*range(0, last + 1, STRIDE), last}):
+            mins = (x[lo : lo + _QUERY, None] * _A + _B).min(axis=0)
+            keys.append((np.arange(HASHES, dtype=np.int64) << 32) | mins.astype(np.int64))
+    return np.unique(np.concatenate(keys))
+
+
+def domain_keys(values: np.ndarray, bounds: np.ndarray, bit_map: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, part, least, key) of the domains of all texts: the keys that the bit map has, where a domain has as many as have to agree."""
+    sizes = np.diff(bounds)
+    x = _folded(values)
+    out: list[tuple[np.ndarray, ...]] = []
+
+    def sketch(of: np.ndarray, part: np.ndarray, starts: np.ndarray, shingles: np.ndarray, size: np.ndarray, count: int, containment: float, joined: np.ndarray | None = None) -> None:
+        rows, keys = [], []
+        for k in range(count):
+            mins = np.minimum.reduceat(shingles * _A[k] + _B[k], starts)
+            if joined is not None:  # a part is a block and the next one of its document
+                mins[:-1] = np.where(joined[:-1], np.minimum(mins[:-1], mins[1:]), mins[:-1])
+            key = (np.int64(k) << np.int64(32)) | mins.astype(np.int64)
+            kept = np.flatnonzero(in_map(bit_map, key))
+            rows.append(kept)
+            keys.append(key[kept])
+        row, key = np.concatenate(rows), np.concatenate(keys)
+        least = least_agreeing(size, count, containment)
+        keep = np.bincount(row, minlength=len(of))[row] >= least[row]
+        row = row[keep]
+        out.append((of[row], part[row], least[row], key[keep]))
+
+    with np.errstate(over="ignore"):
+        lower = 0
+        for upper, count in zip(PARTITIONS, VALUES, strict=False):
+            of = np.flatnonzero((sizes > lower) & (sizes <= upper))
+            lower = upper
+            if len(of):
+                n = sizes[of]
+                starts = np.cumsum(n) - n
+                at = np.repeat(bounds[of] - starts, n) + np.arange(n.sum())
+                sketch(of, np.zeros(len(of), np.int64), starts, x[at], n, count, CONTAINMENT)
+        of = np.flatnonzero(sizes > LARGEST)
+        if len(of):
+            n = sizes[of]
+            first = np.cumsum(n) - n
+            at = np.repeat(bounds[of] - first, n) + np.arange(n.sum())
+            blocks = -(-n // BLOCK)
+            number = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            starts = np.repeat(first, blocks) + number * BLOCK
+            owner = np.repeat(of, blocks)
+            size = np.minimum(np.repeat(n, blocks) - number * BLOCK, 2 * BLOCK)
+            sketch(owner, number, starts, x[at], size, VALUES[-1], CONTAINMENT_PART, np.append(owner[1:] == owner[:-1], False))
+    if not out:
+        none = np.empty(0, np.int64)
+        return none, none, none.astype(np.int32), none
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _bits(key: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return ((key.astype(np.uint64) * _P) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+
+
+def in_map(bit_map: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Whether the keys' bits are set."""
+    b = _bits(key)
+    return (bit_map[b >> 3] >> (b & 7).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def holds(doc: np.ndarray, items: list[np.ndarray]) -> list[bool]:
+    """For each item, whether the document contains a stretch of its shingles in at most two places: exact.
+
+    What the document holds of all items is looked up at once; most are settled by that."""
+    if not len(doc) or not items:
+        return [False] * len(items)
+    every, order = np.concatenate(items), np.sort(doc)
+    held = order[np.minimum(np.searchsorted(order, every), len(order) - 1)] == every
+    runs = np.concatenate([[0], np.cumsum(held)])
+    out, lo = [], 0
+    for item in items:
+        n = len(item)
+        q = min(_QUERY, n)
+        part = runs[lo : lo + n + 1]
+        out.append(bool(q and part[-1] - part[0] >= CONTAINMENT * q and _stands(doc, item, part, q)))
+        lo += n
     return out
 
 
-def without_stock(passages: list[str]) -> list[str]:
-    """Passages without an opening sentence that several of them share."""
+def _stands(doc: np.ndarray, item: np.ndarray, runs: np.ndarray, q: int) -> bool:
+    need = CONTAINMENT * q
+    for lo in np.flatnonzero(runs[q:] - runs[:-q] >= need):
+        stretch = np.unique(item[lo : lo + q])
+        where = np.flatnonzero(np.isin(doc, stretch))
+        kind = np.searchsorted(stretch, doc[where]).tolist()
+        where = where.tolist()
+        have: set[int] = set()
+        for _ in range(2):
+            best: set[int] = set()
+            j = 0
+            for i in range(len(where)):  # widest reach of each place
+                while where[i] - where[j] > PLACE:
+                    j += 1
+                got = set(kind[j : i + 1]) - have
+                if len(got) > len(best):
+                    best = got
+            have |= best
+        if len(have) >= need:
+            return True
+    return False
+
+
+@F.pandas_udf(T.StructType([T.StructField("first", T.StringType()), T.StructField("rest", T.StringType())]))
+def _opening(passages: pd.Series) -> pd.DataFrame:
+    """Words of the first sentence, and what follows it."""
     split = [re.split(r"(?<=[.!?:])\s+", p.strip(), maxsplit=1) for p in passages]
-    first = Counter(" ".join(words(s[0])) for s in split)
-    return [s[1] if len(s) > 1 and first[" ".join(words(s[0]))] > 1 else p for s, p in zip(split, passages, strict=True)]
-
-
-def least_agreeing(size: int) -> int:
-    """Least number of agreeing MinHash values for a window of up to ``size`` shingles (mean less 2.5 standard deviations)."""
-    q = STRETCH - SHINGLE + 1
-    both = CONTAINMENT_WINDOW * q
-    j = min(1.0, both / max(q + size - both, both))
-    return max(1, int(HASHES * j - 2.5 * (HASHES * j * (1 - j)) ** 0.5))
-
-
-class Index:
-    """MinHash values of the stretches of a block of items."""
-
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
-        self.items = items
-        q = STRETCH - SHINGLE + 1
-        owner, sets = [], []
-        for n, (_, s) in enumerate(items):
-            last = max(0, len(s) - q)
-            for lo in sorted({*range(0, last + 1, STRIDE), last}):
-                owner.append(n)
-                sets.append(s[lo : lo + q])
-        self.owner = np.array(owner, np.int64)
-        self.values, self.starts, self.stretches = [], [], []
-        with np.errstate(over="ignore"):
-            for a, b in zip(_A, _B, strict=True):
-                mins = np.array([(x * a + b).min() for x in sets], np.uint64)
-                order = np.argsort(mins, kind="stable")
-                v, at = np.unique(mins[order], return_index=True)
-                self.values.append(v)
-                self.starts.append(np.append(at, len(order)))
-                self.stretches.append(order)
-        self.least = np.array([least_agreeing(PARTITION * (k + 1)) for k in range(2 * BLOCK // PARTITION + 1)])
-
-    def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(document, item) with a window that agrees with a stretch in enough MinHash values."""
-        offsets, owner, sizes = [], [], []
-        at = 0
-        for d, s in enumerate(docs):
-            for lo in range(0, len(s), BLOCK):
-                offsets.append(at + lo)
-                owner.append(d)
-                sizes.append(min(BLOCK, len(s) - lo))
-            at += len(s)
-        if not offsets:
-            return set()
-        owner_a, size_a = np.array(owner), np.array(sizes)
-        joined = np.append(owner_a[1:] == owner_a[:-1], False)  # a window is a block and the next one of its document
-        size_a = size_a + np.where(joined, np.append(size_a[1:], 0), 0)
-        partition = (size_a - 1) // PARTITION
-        x, n, hits = np.concatenate(docs), len(self.owner), []
-        with np.errstate(over="ignore"):
-            for k in range(HASHES):
-                mins = np.minimum.reduceat(x * _A[k] + _B[k], offsets)
-                mins = np.where(joined, np.minimum(mins, np.append(mins[1:], mins[-1:])), mins)
-                pos = np.minimum(np.searchsorted(self.values[k], mins), len(self.values[k]) - 1)
-                found = np.flatnonzero(self.values[k][pos] == mins)
-                lo, hi = self.starts[k][pos[found]], self.starts[k][pos[found] + 1]
-                reps = hi - lo
-                if reps.sum():
-                    idx = np.repeat(lo - np.append(0, np.cumsum(reps)[:-1]), reps) + np.arange(reps.sum())
-                    hits.append(np.repeat(found, reps) * n + self.stretches[k][idx])
-        if not hits:
-            return set()
-        pair, agree = np.unique(np.concatenate(hits), return_counts=True)
-        window = pair // n
-        pair = pair[agree >= self.least[partition[window]]]
-        return set(zip(owner_a[pair // n].tolist(), self.owner[pair % n].tolist(), strict=True))
-
-    def verified(self, doc: np.ndarray, candidates: list[int]) -> list[int]:
-        """The candidates of which the document holds a stretch: one membership pass for all of them, then the places of what is held."""
-        parts = [self.items[n][1] for n in candidates]
-        ends = np.cumsum([len(p) for p in parts])
-        s, order = np.concatenate(parts), np.sort(doc)
-        held = order[np.minimum(np.searchsorted(order, s), len(order) - 1)] == s
-        runs = np.cumsum(np.append(0, held))
-        out = []
-        for n, hi, part in zip(candidates, ends, parts, strict=True):
-            lo = hi - len(part)
-            if runs[hi] - runs[lo] >= CONTAINMENT * min(STRETCH - SHINGLE + 1, len(part)) and self._stands(doc, part, runs[lo : hi + 1]):
-                out.append(n)
-        return out
-
-    @staticmethod
-    def _stands(doc: np.ndarray, s: np.ndarray, runs: np.ndarray) -> bool:
-        """Exact containment of a stretch of the item's shingles in at most two places; runs: their running count in the whole document."""
-        q = min(STRETCH - SHINGLE + 1, len(s))
-        need = CONTAINMENT * q
-        counts = runs[q:] - runs[:-q]
-        for lo in np.flatnonzero(counts >= need):
-            stretch = np.unique(s[lo : lo + q])
-            where = np.flatnonzero(np.isin(doc, stretch))
-            kind = np.searchsorted(stretch, doc[where])
-            have: set[int] = set()
-            for _ in range(2):
-                best: set[int] = set()
-                j = 0
-                for i in range(len(where)):  # widest reach of each place
-                    while where[i] - where[j] > PLACE:
-                        j += 1
-                    got = {int(k) for k in kind[j : i + 1] if int(k) not in have}
-                    if len(got) > len(best):
-                        best = got
-                have |= best
-            if len(have) >= need:
-                return True
-        return False
+    return pd.DataFrame({"first": [" ".join(re.findall(r"[^\W_]+", s[0].lower())) for s in split], "rest": [s[1] if len(s) > 1 else None for s in split]})
 
 
-def leaked_items(docs: DataFrame, record: str, text: str, items: DataFrame, item: str, passage: str) -> DataFrame:
-    """Distinct rows (record, item): documents and the items they hold, whole, in part or altered.
+def item_passages(items: DataFrame, item: str, passage: str) -> DataFrame:
+    """(_i, _n, _p): items with the number of each passage and the passage without a stock instruction."""
+    rows = items.select(F.col(item).alias("_i"), F.col(passage).alias("_p")).where("_i is not null and _p is not null").distinct()
+    rows = rows.withColumn("_o", _opening("_p")).select("_i", "_p", F.col("_o.first").alias("_first"), F.col("_o.rest").alias("_rest"))
+    stock = rows.groupBy("_first").agg(F.count("*").alias("_c")).where("_c > 1 and _first <> ''").drop("_c").withColumn("_stock", F.lit(True))
+    plain = F.when(F.col("_stock") & F.col("_rest").isNotNull(), F.col("_rest")).otherwise(F.col("_p"))
+    return rows.join(stock, "_first", "left").select("_i", F.xxhash64("_i", "_p").alias("_n"), plain.alias("_p"))
 
-    No shuffle before the final distinct: each block of items is searched in one pass over the documents."""
-    rows = items.select(F.col(item).alias("i"), F.col(passage).alias("p")).where("i is not null and p is not null").distinct().orderBy("i", "p")
-    kinds = f"_d {docs.schema[record].dataType.simpleString()}, _i {items.schema[item].dataType.simpleString()}"
+
+def index_of(passages: DataFrame) -> DataFrame:
+    """(_n, _key): MinHash values of the stretches of each passage."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            values, bounds = shingle_arrays(pdf["_p"].tolist())
+            for n, a, b in zip(pdf["_n"].tolist(), bounds, bounds[1:], strict=False):
+                if b > a:
+                    yield pd.DataFrame({"_n": n, "_key": stretch_keys(values[a:b])})
+
+    return passages.select("_n", "_p").mapInPandas(keys, "_n long, _key long")
+
+
+def bit_map_of(index: DataFrame) -> np.ndarray:
+    """The bits of all keys: a map of fixed size, gathered by bytes."""
+
+    def bytes_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            b = np.unique(_bits(pdf["_key"].to_numpy()))
+            at, first = np.unique(b >> 6, return_index=True)
+            words = np.bitwise_or.reduceat(np.uint64(1) << (b & 63).astype(np.uint64), first) if len(b) else np.empty(0, np.uint64)
+            yield pd.DataFrame({"at": at.astype(np.int64), "bits": words.view(np.int64)})
+
+    rows = index.select("_key").mapInPandas(bytes_of, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    out = np.zeros(1 << (MAP_BITS - 6), np.uint64)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return out.view(np.uint8)
+
+
+def candidates(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """(_d, _n): documents (_d, _t) of which a domain agrees with the stretches of a passage in enough values.
+
+    Values of one domain differ by the number of their hash, so rows are counted."""
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map_of(index))
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf["_t"].tolist()
+            for lo in range(0, len(texts), 2000):
+                of, part, least, key = domain_keys(*shingle_arrays(texts[lo : lo + 2000]), shared.value)
+                if len(of):
+                    yield pd.DataFrame({"_d": pdf["_d"].to_numpy()[lo + of], "_part": part.astype(np.int32), "_least": least, "_key": key})
+
+    keys = docs.mapInPandas(sketch, f"_d {docs.schema['_d'].dataType.simpleString()}, _part int, _least int, _key long")
+    agreeing = keys.join(broadcast_if_small(index, SENT_PAIRS), "_key").groupBy("_d", "_part", "_n").agg(F.count("*").alias("_both"), F.max("_least").alias("_least"))
+    return agreeing.where("_both >= _least").select("_d", "_n").distinct()
+
+
+def leaked_items(docs: DataFrame, record: str, text: str, items: DataFrame, item: str, passage: str) -> DataFrame:
+    """Distinct rows (record, item): documents and the items they hold, whole, in part or altered."""
     source = docs.select(F.col(record).alias("_d"), F.col(text).alias("_t")).where("_d is not null and _t is not null and _t <> ''")
-    got = [(r["i"], r["p"]) for r in rows.toLocalIterator()]  # the held-out set is a query set, not the corpus
-    hashed = [(i, s) for (i, _), s in zip(got, map(shingles, without_stock([p for _, p in got])), strict=True) if len(s)]
-    parts = []
-    for lo in range(0, len(hashed), ITEM_BLOCK):
-        shared = docs.sparkSession.sparkContext.broadcast(hashed[lo : lo + ITEM_BLOCK])
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = Index(shared.value)
-            for pdf in batches:
-                ids, texts = pdf["_d"].tolist(), pdf["_t"].tolist()
-                for a in range(0, len(ids), 500):
-                    sets = [shingles(t) for t in texts[a : a + 500]]
-                    found: dict[int, list[int]] = {}
-                    for d, n in index.candidates(sets):
-                        found.setdefault(d, []).append(n)
-                    hit = [(ids[a + d], index.items[n][0]) for d, ns in found.items() for n in index.verified(sets[d], ns)]
-                    if hit:
-                        yield pd.DataFrame(hit, columns=["_d", "_i"])
-
-        parts.append(source.mapInPandas(search, kinds))
-    if not parts:
-        parts = [source.join(rows.where("false"), F.lit(False)).selectExpr("_d", "i as _i")]
-    return reduce(DataFrame.unionByName, parts).distinct().select(F.col("_d").alias(record), F.col("_i").alias(item))
+    passages = cut_lineage(item_passages(items, item, passage))
+    pairs = cut_lineage(candidates(source, cut_lineage(index_of(passages))))
+    kinds = f"_d {docs.schema[record].dataType.simpleString()}, _i {items.schema[item].dataType.simpleString()}"
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            at, first = pd.factorize(pdf["_t"])  # a document's pairs stand together and are read once
+            values, bounds = shingle_arrays(first.tolist())
+            ok = np.zeros(len(pdf), bool)
+            passages_of, numbers = pdf["_p"].tolist(), pdf["_n"].tolist()
+            order = np.argsort(at, kind="stable")
+            ends = np.searchsorted(at[order], np.arange(len(first) + 1))
+            for d, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
+                rows = order[a:b]
+                if len(kept) > 50_000:
+                    kept.clear()
+                for r in rows:
+                    if numbers[r] not in kept:
+                        kept[numbers[r]] = shingle_arrays([passages_of[r]])[0]
+                ok[rows] = holds(values[bounds[d] : bounds[d + 1]], [kept[numbers[r]] for r in rows])
+            yield pdf.loc[ok, ["_d", "_i"]]
+
+    near = source.join(broadcast_if_small(pairs, SENT_PAIRS), "_d").join(broadcast_if_small(passages, 20_000), "_n")
+    return near.select("_d", "_i", "_n", "_t", "_p").mapInPandas(verify, kinds).distinct().select(F.col("_d").alias(record), F.col("_i").alias(item))
