@@ -18,20 +18,21 @@ from quire.llm.residue import Model, residue_units, sample_prose, without_residu
 from quire.llm.scanfix import page_noise
 from quire.llm.sentences import sentence_units
 from quire.runtime import ensure_importable
+from quire.views import records_once
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return ensure_importable(spark).read.parquet(f"{d}/{name}.parquet")
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """(paper_id, end_pos) of every sentence unit."""
-    return sentence_units(_t(spark, d, "paper_md"), "paper_id", "md_content").select("paper_id", "end_pos")
+def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence units of every final paper with their places and text; copies of a paper are told by keys and row positions, so no text is shuffled."""
+    return sentence_units(records_once(ensure_importable(spark), d, "paper_md", "paper_id"), "paper_id", "md_content")
 
 
-def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Sentence units of every final paper with their places and text."""
-    return sentence_units(_t(spark, d, "paper_md"), "paper_id", "md_content")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """(paper_id, end_pos) of every sentence unit."""
+    return p4_sentences(spark, d).select("paper_id", "end_pos")
 
 
 def _p5_texts(spark: SparkSession, d: str) -> DataFrame:

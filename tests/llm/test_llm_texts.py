@@ -68,9 +68,31 @@ def test_sentences(spark):
     assert got[10] == ["a.", "B.", "C"]
 
 
-def test_sentences_of_copies(spark):
-    df = spark.createDataFrame([(1, "One. Two."), (1, "One. Two."), (1, "One. Two.")], "id bigint, t string")
-    assert sorted(r["end_pos"] for r in sentence_units(df, "id", "t").collect()) == [4, 9]
+def test_sentences_of_copies(spark, tmp_path):
+    from quire.llm.registry import queries
+
+    rows = [(1, "One. Two."), (2, "Three.\n\n# T\n\nFour. Five"), (1, "One. Two."), (1, "One. Two."), (3, None)]
+    df = spark.createDataFrame(rows, "paper_id bigint, md_content string")
+    assert sorted(r["end_pos"] for r in sentence_units(df.where("paper_id = 1"), "paper_id", "md_content").collect()) == [4, 4, 4, 9, 9, 9]
+    df.repartition(3).write.parquet(str(tmp_path / "paper_md.parquet"))
+    got = queries()["p4_sentences"](spark, str(tmp_path))
+    assert sorted((r["paper_id"], r["start_pos"], r["end_pos"], r["unit"]) for r in got.collect()) == [(1, 0, 4, "One."), (1, 5, 9, "Two."), (2, 0, 6, "Three."), (2, 13, 18, "Four."), (2, 19, 23, "Five")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan  # no unit and no text is shuffled
+
+
+def test_short_forms(spark):
+    got = _units(spark, "Gen. Smith met the U.S. Army in Sept. 2020. See Appx. B for it. They left the U.S. The end.", "Figs are sweet. Fighting is not.", "Figure 3 shows it. And that.")
+    assert got[0] == ["Gen. Smith met the U.S. Army in Sept. 2020.", "See Appx. B for it.", "They left the U.S.", "The end."]
+    assert got[1] == ["Figs are sweet.", "Fighting is not."] and got[2] == ["Figure 3 shows it. And that."]
+
+
+def test_running_starts(spark):
+    from quire.llm.sentences import running_starts
+
+    rows = [[1] * n for n in (0, 1, 2, 255, 256, 257, 1000)] + [list(range(700))]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, a array<int>").select("i", running_starts(F.col("a")).alias("s")).orderBy("i").collect()
+    assert [r["s"] for r in got] == [[sum(r[:k]) for k in range(len(r))] for r in rows]
 
 
 # problem 3
@@ -101,10 +123,8 @@ CLEAN = ["Le coût d’accès a été réduit à 10 °C près.", "Größe und Ma
 def _repairer():
     import pandas as pd
 
-    counts = {}
-    for pdf in mojibake._pair_counts(iter([pd.DataFrame({"_t": CLEAN})])):
-        counts.update(zip(pdf["pair"].tolist(), pdf["n"].tolist(), strict=True))
-    return mojibake.Repairer(mojibake.Costs(counts))
+    counts = next(mojibake._pair_counts(iter([pd.DataFrame({"_t": CLEAN})])))
+    return mojibake.Repairer(mojibake.Costs(counts["pair"].to_numpy(), counts["n"].to_numpy()))
 
 
 @pytest.mark.parametrize(("written", "read"), [("utf-8", "cp1252"), ("utf-8", "cp437"), ("utf-8", "mac_roman"), ("cp1251", "latin-1")])
