@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -43,23 +43,25 @@ MIN_GAIN = 2.0
 #: Least gain for text of another legacy encoding, which has no form of its own by which it is known.
 MIN_LEGACY_GAIN = 12.0
 _UTF8_RUN = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
-_SEGMENT = re.compile(r"[^\n]*?(?:[.!?।؟]+[\"”»’')]*(?=\s)|[。！？]|\n|$)")
 _NON_ASCII = re.compile(r"[^\x00-\x7f]")
 #: (start, end, symbol): pairs inside a large script are not counted; its characters are counted alone.
 _LARGE = ((0x900, 0x97F), (0xE00, 0xE7F), (0x620, 0x6FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7A3), (0x20000, 0x3FFFF), (0xE000, 0xF8FF))
 
 
-def _symbols(cp: np.ndarray) -> np.ndarray:
-    """Code points with large scripts, ASCII letters and digits folded to one symbol each."""
+@lru_cache(maxsize=1)
+def _symbol_table() -> np.ndarray:
+    cp = np.arange(0x110000, dtype=np.int64)
     out = cp.copy()
-    for lo, hi in _LARGE:
+    for lo, hi in (*_LARGE, (0x61, 0x7A), (0x41, 0x5A), (0x30, 0x39)):
         out[(cp >= lo) & (cp <= hi)] = lo
-    out[(cp >= 0x61) & (cp <= 0x7A)] = 0x61
-    out[(cp >= 0x41) & (cp <= 0x5A)] = 0x41
-    out[(cp >= 0x30) & (cp <= 0x39)] = 0x30
     return out
 
 
+def _symbols(cp: np.ndarray) -> np.ndarray:
+    """Code points with large scripts, ASCII letters and digits folded to one symbol each."""
+    return _symbol_table()[cp]
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
 
@@ -84,41 +86,64 @@ def _pair_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Costs:
     """Garbling cost of a string: -log2 of the joint frequency of each pair, with additive smoothing.
 
-    Joint rather than conditional, as the rare symbols of garbling are rare together."""
+    Joint rather than conditional, as the rare symbols of garbling are rare together.
+    The table is two sorted arrays, so the pairs of many strings are looked up at once."""
+
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray):
+        order = np.argsort(pairs)
+        self.pairs, counts = np.asarray(pairs, np.int64)[order], np.asarray(counts, np.float64)[order]
+        self.total = float(counts.sum()) + 1.0
+        self.bits = -np.log2((counts + 0.05) / self.total)
+        self.unseen = -math.log2(0.05 / self.total)
+        self.memo: dict[int, float] = {}
+        self.chars, at = np.unique(self.pairs & 0x1FFFFF, return_inverse=True)
+        self.char_bits = -np.log2((np.bincount(at, counts, len(self.chars)) + 0.05) / self.total) if len(counts) else np.empty(0)
+
+    def _bits_of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.pairs):
+            return np.full(len(keys), self.unseen)
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == keys, self.bits[at], self.unseen)
+
+    def rarities(self, cp: np.ndarray) -> np.ndarray:
+        """-log2 of how often characters stand second in a pair or alone."""
+        if not len(self.chars):
+            return np.full(cp.shape, self.unseen)
+        i = np.minimum(np.searchsorted(self.chars, cp), len(self.chars) - 1)
+        return np.where(self.chars[i] == cp, self.char_bits[i], self.unseen)
 
-    def __init__(self, pairs: dict[int, int]):
-        self.total = float(sum(pairs.values())) + 1.0
-        self.pairs, self.memo = pairs, {}
-        self.alone: dict[int, int] = {}
-        for p, n in pairs.items():
-            b = p & 0x1FFFFF
-            self.alone[b] = self.alone.get(b, 0) + n
-
-    def entry(self, key: int) -> float:
-        c = self.memo.get(key)
-        if c is None:
-            c = self.memo[key] = -math.log2((self.pairs.get(key, 0) + 0.05) / self.total)
-        return c
+    @staticmethod
+    def _keys(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, places): what is counted at each place where a pair has a member beyond ASCII."""
+        sym = _symbols(cp)
+        a, b, c = sym[:-1], sym[1:], cp[1:]
+        alone = (b > 127) & (c != b)
+        at = np.flatnonzero(alone | (a > 127) | (b > 127))
+        return np.where(alone[at], (ALONE << 21) | c[at], (a[at] << 21) | b[at]), at
 
-    def rarity(self, char: str) -> float:
-        """-log2 of how often a character stands second in a pair or alone."""
-        return -math.log2((self.alone.get(ord(char), 0) + 0.05) / self.total)
+    def many(self, cp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bits, places) of the pairs of an array of code points."""
+        keys, at = self._keys(cp)
+        return self._bits_of(keys), at
 
     def each(self, text: str) -> list[float]:
-        cp = _codes(" " + text + " ")
-        sym = _symbols(cp)
-        cp, sym = cp.tolist(), sym.tolist()
-        out = []
-        for i in range(1, len(sym)):
-            a, b = sym[i - 1], sym[i]
-            if b > 127 and cp[i] != b:
-                out.append(self.entry((ALONE << 21) | cp[i]))
-            elif a > 127 or b > 127:
-                out.append(self.entry((a << 21) | b))
-        return out
+        return self.many(_codes(" " + text + " "))[0].tolist()
 
     def __call__(self, text: str) -> float:
-        return sum(self.each(text))
+        out, missing = 0.0, []
+        keys, _ = self._keys(_codes(" " + text + " "))
+        for k in keys.tolist():
+            c = self.memo.get(k)
+            if c is None:
+                missing.append(k)
+            else:
+                out += c
+        if missing:
+            for k, c in zip(missing, self._bits_of(np.array(missing, np.int64)).tolist(), strict=True):
+                if len(self.memo) < 500_000:
+                    self.memo[k] = c
+                out += c
+        return out
 
 
 @lru_cache(maxsize=32)
@@ -134,20 +159,40 @@ def _byte_of(codec: str) -> dict[str, bytes]:
     return table
 
 
-def _encoded(text: str, codec: str) -> tuple[bytes, list[int]] | None:
+@lru_cache(maxsize=32)
+def _bytes_by_code_point(codec: str) -> np.ndarray:
+    """The byte of each code point in a one-byte encoding, 0xff where it has none."""
+    out = np.full(0x110000, 0xFF, np.uint8)
+    for c, raw in _byte_of(codec).items():
+        out[ord(c)] = raw[0]
+    return out
+
+
+def _encoded(text: str, codec: str) -> tuple[bytes, Sequence[int]]:
     """Bytes of ``text`` and, for each byte, the index of its character; b'\\xff' where the encoding has no such character."""
     if codec not in TWO_BYTE:
-        table = _byte_of(codec)
-        return b"".join(table.get(c, b"\xff") for c in text), list(range(len(text)))
-    out, at = [], []
-    for i, c in enumerate(text):
+        return _bytes_by_code_point(codec)[_codes(text)].tobytes(), range(len(text))
+    code = _code_table(codec)[np.minimum(_codes(text), 0x10000)]
+    two = code > 0xFF
+    starts = np.cumsum(1 + two) - (1 + two)
+    out = np.empty(len(code) + int(two.sum()), np.uint8)
+    out[starts] = np.where(two, code >> 8, code)
+    out[starts[two] + 1] = code[two] & 0xFF
+    return out.tobytes(), np.repeat(np.arange(len(code)), 1 + two)
+
+
+@lru_cache(maxsize=8)
+def _code_table(codec: str) -> np.ndarray:
+    """The one or two bytes of each code point in a double-byte encoding, as a number; 0xff where there are none."""
+    out = np.full(0x10001, 0xFF, np.int32)
+    for cp in range(0x10000):
         try:
-            raw = c.encode(codec)
+            raw = chr(cp).encode(codec)
         except UnicodeEncodeError:
-            raw = b"\xff"
-        out.append(raw)
-        at += [i] * len(raw)
-    return b"".join(out), at
+            continue
+        if len(raw) <= 2:
+            out[cp] = int.from_bytes(raw, "big")
+    return out
 
 
 def _undo_utf8(text: str, codec: str) -> tuple[str, int, int] | None:
@@ -199,9 +244,9 @@ def _repertoire(codec: str) -> re.Pattern:
 def _held(text: str, codec: str) -> Iterator[tuple[int, int, bytes]]:
     """Runs of characters that the encoding has: (start, end, bytes)."""
     if codec not in TWO_BYTE:
-        table = _byte_of(codec)
+        raw, _ = _encoded(text, codec)
         for m in _repertoire(codec).finditer(text):
-            yield m.start(), m.end(), b"".join(table[c] for c in m.group())
+            yield m.start(), m.end(), raw[m.start() : m.end()]
         return
     raw, at = _encoded(text, codec)  # no two-byte encoding uses the byte 0xff
     for m in _HELD.finditer(raw):
@@ -221,22 +266,40 @@ def _only_shown(text: str, restored: str) -> bool:
 
 
 @lru_cache(maxsize=1)
-def _utf8_read_as_bytes() -> re.Pattern:
-    """A lead byte and a continuation byte of UTF-8 as any of the one-byte encodings shows them."""
-    parts = []
-    for codec in MISREAD_AS:
-        if codec not in TWO_BYTE:
-            shown = {raw[0]: c for c, raw in _byte_of(codec).items()}
-            klass = lambda r: "".join(re.escape(shown[i]) for i in r if i in shown)  # noqa: B023, E731
-            parts.append(f"[{klass(range(0xC2, 0xF5))}][{klass(range(0x80, 0xC0))}]")
-    return re.compile("|".join(parts))
+def _utf8_bytes() -> tuple[np.ndarray, np.ndarray]:
+    """(lead, continuation): per code point, a bit for each one-byte encoding that shows such a byte of UTF-8 as this character."""
+    lead, continuation = np.zeros(0x110000, np.uint16), np.zeros(0x110000, np.uint16)
+    for n, codec in enumerate(c for c in MISREAD_AS if c not in TWO_BYTE):
+        for c, raw in _byte_of(codec).items():
+            if 0xC2 <= raw[0] < 0xF5:
+                lead[ord(c)] |= 1 << n
+            elif 0x80 <= raw[0] < 0xC0:
+                continuation[ord(c)] |= 1 << n
+    return lead, continuation
+
+
+def utf8_signs(cp: np.ndarray) -> np.ndarray:
+    """For each place, a bit for every encoding that shows a lead and a continuation byte of UTF-8 there."""
+    lead, continuation = _utf8_bytes()
+    return lead[cp[:-1]] & continuation[cp[1:]]
 
 
-@lru_cache(maxsize=256)
-def _shown_as(read_as: str, written_in: str) -> dict[str, str]:
-    """What a character read by one encoding is when its byte is read by another."""
-    other = {raw: c for c, raw in _byte_of(written_in).items()}
-    return {c: other[raw] for c, raw in _byte_of(read_as).items() if raw in other}
+_ONE_BYTE_READINGS = [c for c in MISREAD_AS if c not in TWO_BYTE]
+_ONE_BYTE_TARGETS = [c for c in WRITTEN_IN if c not in TWO_BYTE]
+
+
+@lru_cache(maxsize=1)
+def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, characters): the byte of a code point in each encoding of ONE_BYTE, -1 where there is none, and the code point of a byte in each of _ONE_BYTE_TARGETS."""
+    byte_of = np.full((len(ONE_BYTE), 0x10000), -1, np.int16)
+    for n, codec in enumerate(ONE_BYTE):
+        for c, raw in _byte_of(codec).items():
+            byte_of[n, ord(c)] = raw[0]
+    shown = np.full((len(_ONE_BYTE_TARGETS), 256), -1, np.int64)
+    for n, codec in enumerate(_ONE_BYTE_TARGETS):
+        for c, raw in _byte_of(codec).items():
+            shown[n, raw[0]] = ord(c)
+    return byte_of, shown
 
 
 _DENSE = re.compile(r"[\x80-\u04ff\u2010-\u26ff]{4}")
@@ -259,30 +322,33 @@ class Repairer:
         return _undo_utf8(text, recipe[0]) if recipe[1] == "utf-8" else _undo_legacy(text, *recipe)
 
     def _recipes(self, text: str, each: list[float]) -> Iterator[tuple[str, str]]:
-        if _utf8_read_as_bytes().search(text):
-            yield from ((c, "utf-8") for c in MISREAD_AS if c not in TWO_BYTE)
+        cp = _codes(text)
+        signs = int(np.bitwise_or.reduce(utf8_signs(cp))) if len(cp) > 1 else 0
+        yield from ((c, "utf-8") for n, c in enumerate(_ONE_BYTE_READINGS) if signs >> n & 1)
         wide = _TWO_BYTE_TEXT.search(text) is not None
         unusual = sum(c > UNUSUAL for c in each)
         if wide and max(each) > UNUSUAL:
             yield from ((c, "utf-8") for c in MISREAD_AS if c in TWO_BYTE)
         if unusual < 2 and unusual < len(each) / 2:
             return
-        chars = {c for c in text if c > "\x7f"}
-        rarity = {c: self.cost.rarity(c) for c in chars}
-        for a in ONE_BYTE:
-            known = [c for c in chars if c in _byte_of(a)]
-            if 3 * len(known) < 2 * len(chars):
+        # a change of single characters is worth a try when they become more usual
+        chars = np.unique(cp[cp > 127])
+        byte_of, shown = _byte_tables()
+        raw = np.where(chars < 0x10000, byte_of[:, np.minimum(chars, 0xFFFF)], -1)
+        known = raw >= 0
+        before = (self.cost.rarities(chars) * known).sum(axis=1)
+        target = shown[:, np.maximum(raw, 0)]
+        after = np.where(known & (target >= 0), self.cost.rarities(target), 0.0).sum(axis=2)
+        possible = (after < before) & (~known | (target >= 0)).all(axis=2)
+        dense = _DENSE.search(text) is not None
+        for n, a in enumerate(ONE_BYTE):
+            if 3 * int(known[n].sum()) < 2 * len(chars):
                 continue
-            before = sum(rarity[c] for c in known)
-            for b in WRITTEN_IN:
-                if a == b:
-                    continue
-                if b not in TWO_BYTE:  # a change of single characters: worth a try when they become more usual
-                    shown = _shown_as(a, b)
-                    if all(c in shown for c in known) and sum(self.cost.rarity(shown[c]) for c in known) < before:
-                        yield a, b
-                elif _DENSE.search(text):
+            for k, b in enumerate(_ONE_BYTE_TARGETS):
+                if a != b and possible[k, n]:
                     yield a, b
+            if dense:
+                yield from ((a, b) for b in WRITTEN_IN if b in TWO_BYTE)
         if wide and sum(c > UNUSUAL + 3 for c in each) > 2:
             yield from ((a, b) for a in TWO_BYTE for b in TWO_BYTE if a != b)
 
@@ -327,24 +393,50 @@ class Repairer:
         return text
 
     def text(self, text: str) -> tuple[bool, str, bool]:
-        """(garbled, restored text, whether all of it could be restored)."""
-        if text.isascii():
-            return False, text, True
-        out, garbled, whole = [], False, True
-        for m in _SEGMENT.finditer(text):
-            s = m.group()
-            if s.isascii():
-                out.append(s)
-                continue
-            fixed = self.segment(s)
-            if fixed is None:
-                out.append(s)
-            else:
-                out.append(fixed)
-                garbled = True
-            if "�" in out[-1] and not _shows_replacement(out[-1]):
-                garbled, whole = True, False
-        return garbled, "".join(out), whole
+        """:meth:`texts` of one text."""
+        return self.texts([text])[0]
+
+    def texts(self, texts: list[str]) -> list[tuple[bool, str, bool]]:
+        """(garbled, restored text, whether all of it could be restored) of each text.
+
+        The segments of all texts are one array of code points: costs and signs of
+        UTF-8 are found in it at once, and only segments that have an unusual pair or
+        such a sign are tried."""
+        cut = [_segments(t) for t in texts]
+        foreign = [(i, k) for i, segments in enumerate(cut) for k, s in enumerate(segments) if not s.isascii()]
+        joined = "".join(f" {cut[i][k]} " for i, k in foreign)
+        out = [(False, t, True) for t in texts]
+        if not foreign:
+            return out
+        cp = _codes(joined)
+        ends = np.cumsum([len(cut[i][k]) + 2 for i, k in foreign])
+        bits, at = self.cost.many(cp)
+        odd = np.concatenate([at[bits > UNUSUAL], np.flatnonzero(utf8_signs(cp))])
+        tried = np.unique(np.searchsorted(ends, odd, side="right"))
+        found: dict[int, list[bool]] = {}
+        for n in tried.tolist():
+            i, k = foreign[n]
+            fixed = self.segment(cut[i][k])
+            if fixed is not None:
+                cut[i][k] = fixed
+                found.setdefault(i, [True])
+        for i in {i for i, _ in foreign}:
+            lost = "\ufffd" in texts[i] and any("\ufffd" in s and not _shows_replacement(s) for s in cut[i])
+            if lost or i in found:
+                out[i] = True, "".join(cut[i]), not lost
+        return out
+
+
+_BOUNDARY = re.compile(r"[.!?।؟]+[\"”»’')]*(?=\s)|[。！？]|\n")
+
+
+def _segments(text: str) -> list[str]:
+    """Pieces that end with a line or a sentence; together they are the text."""
+    out, last = [], 0
+    for m in _BOUNDARY.finditer(text):
+        out.append(text[last : m.end()])
+        last = m.end()
+    return [*out, text[last:]] if last < len(text) else out
 
 
 _LOST = re.compile("(\\w?)(\ufffd+)(\\w?)")
@@ -367,15 +459,20 @@ def pair_table(df: DataFrame, text: str) -> DataFrame:
     )
 
 
+#: Texts that are repaired together.
+TOGETHER = 400
+
+
 def repair_encoding(df: DataFrame, record: str, text: str) -> DataFrame:
     """Rows (record, garbled, restored_text, fully_restored) of the texts that are not ASCII."""
-    rows = pair_table(df, text).toPandas()
+    rows = pair_table(df, text).toArrow()
     shared = df.sparkSession.sparkContext.broadcast((rows["pair"].to_numpy(), rows["n"].to_numpy()))
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fix = Repairer(Costs(dict(zip(shared.value[0].tolist(), shared.value[1].tolist(), strict=True))))
+        fix = Repairer(Costs(*shared.value))
         for pdf in batches:
-            got = [fix.text(t) for t in pdf["_t"]]
+            texts = pdf["_t"].tolist()
+            got = [r for lo in range(0, len(texts), TOGETHER) for r in fix.texts(texts[lo : lo + TOGETHER])]
             yield pd.DataFrame({"_id": pdf["_id"], "garbled": [g for g, _, _ in got], "restored_text": [r for _, r, _ in got], "fully_restored": [w for _, _, w in got]})
 
     kind = df.schema[record].dataType.simpleString()
