@@ -123,6 +123,23 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(counts, targets, mix(counts, targets))
 
 
+def _p8_chars(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sized = _t(spark, d, "documents").select(F.col("doc_id").alias("key"), "source", F.col("n_chars").alias("tokens")).where("source is not null and tokens > 0").distinct()
+    return sized, _t(spark, d, "mix_target")
+
+
+def p8_mix_by_length(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed data set with characters for tokens, which SQL can count."""
+    return mix(*_p8_chars(spark, d)).withColumnRenamed("key", "doc_id")
+
+
+def p8_shares_by_length(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source with characters for tokens."""
+    counts, targets = _p8_chars(spark, d)
+    out = shares(counts, targets, mix(counts, targets))
+    return out.withColumns({c: F.round(c, 9) for c in ("actual_share", "share_of_wanted")})
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id) of the documents with wrongly decoded text."""
     return repair_encoding(_t(spark, d, "documents"), "doc_id", "text").where("garbled").select("doc_id").distinct()
@@ -135,13 +152,31 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Training-data queries by name."""
-    found = (p1_found, p1_kept, p2_found, p3_found, p3_pieces, p4_found, p4_sentences, p5_found, p5_consistent, p6_found, p6_repaired, p7_found, p8_mix, p8_shares, p9_found, p9_restored)
+    found = (p1_found, p1_kept, p2_found, p3_found, p3_pieces, p4_found, p4_sentences, p5_found, p5_consistent, p6_found, p6_repaired, p7_found, p8_mix, p8_shares, p8_mix_by_length, p8_shares_by_length, p9_found, p9_restored)
     return {f.__name__: f for f in found}
 
 
+#: Systematic sampling along the digests of the keys.
+_MIX = """
+    WITH c AS (SELECT DISTINCT doc_id, source, n_chars AS tokens FROM documents WHERE source IS NOT NULL AND n_chars > 0),
+    t AS (SELECT source, sum(tokens) AS st, count(*) AS docs FROM c GROUP BY source),
+    rated AS (SELECT m.source, target_share, max_repeats, coalesce(docs, 0) AS docs, coalesce(st, 0) AS source_tokens,
+        CASE WHEN st > 0 THEN least(target_share * cast(sum(coalesce(st, 0)) OVER () AS double) / st, cast(max_repeats AS double)) ELSE 0.0 END AS rate FROM mix_target m LEFT JOIN t USING (source)),
+    placed AS (SELECT doc_id, c.source, tokens, rate, row_number() OVER (PARTITION BY c.source ORDER BY md5(doc_id || '-17'), doc_id) AS k,
+        list_sum(list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef', substr(md5(c.source || '-17'), i, 1)) - 1) * cast(pow(16, 8 - i) AS bigint))) / 4294967296.0 AS o
+        FROM c JOIN rated USING (source) WHERE rate > 0),
+    mixed AS (SELECT doc_id, source, tokens, cast(floor(rate * k + o) - floor(rate * (k - 1) + o) AS int) AS copies FROM placed WHERE floor(rate * k + o) > floor(rate * (k - 1) + o)) """
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the training-data queries by name."""
     return {
+        "p8_mix_by_length": _MIX + "SELECT doc_id, source, tokens, copies FROM mixed",
+        "p8_shares_by_length": _MIX
+        + """, used AS (SELECT source, sum(copies * tokens) AS mixed_tokens, sum(copies) AS mixed_docs, max(copies) AS most_copies FROM mixed GROUP BY source),
+            a AS (SELECT r.*, coalesce(docs, 0) AS docs, coalesce(mixed_tokens, 0) AS mt, coalesce(mixed_docs, 0) AS md, coalesce(most_copies, 0) AS mc FROM rated r LEFT JOIN used USING (source))
+            SELECT source, target_share, max_repeats, docs AS source_docs, source_tokens, md AS mixed_docs, mt AS mixed_tokens, mc AS most_copies, round(mt / sum(mt) OVER (), 9) AS actual_share,
+            round(mt / sum(source_tokens) OVER (), 9) AS share_of_wanted, target_share * sum(source_tokens) OVER () > source_tokens * max_repeats AS cap_binding FROM a""",
         "p3_found": """
             SELECT DISTINCT paper_id FROM paper_md
             WHERE length(md_content) > (SELECT max(max_chars) FROM chunk_limit WHERE item_type = 'paper_md')""",

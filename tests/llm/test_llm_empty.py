@@ -25,4 +25,4 @@ def test_sample_is_bounded_and_repeatable(spark):
 
 def test_names_of_queries():
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 6, 7, 9)} <= set(queries())
-    assert mixing.BUCKETS > 0
+    assert mixing.BUCKET_ROWS > 0

@@ -55,6 +55,9 @@ def test_mix(spark):
     assert sorted(map(tuple, mixing.mix(counts.repartition(7), targets, 2000).collect())) == sorted(map(tuple, out))
     report = {r["source"]: r for r in mixing.shares(counts, targets, capped).collect()}
     assert report["gone"]["actual_share"] == 0 and abs(sum(r["actual_share"] for r in report.values()) - 1) < 1e-9
+    assert report["gone"]["cap_binding"] is True and report["small"]["cap_binding"] is True and report["small"]["most_copies"] == 4
+    one, many = (sorted(map(tuple, mixing.mix(counts, targets, 2000, bucket_rows=n).collect())) for n in (10_000, 7))
+    assert one == many == sorted(map(tuple, out))  # buckets do not change the result
     assert mixing.mix(counts.limit(0), targets, 2000).count() == 0
 
 
