@@ -91,9 +91,21 @@ def test_names(spark):
     assert linked("venue", VENUES[6], VENUES[7]) and linked("venue", VENUES[6], VENUES[8]) and not linked("venue", VENUES[0], VENUES[6])
 
 
+def test_links_come_from_blocks(spark, monkeypatch):
+    """Without suffix blocks nothing is linked; discarding refined blocks loses nothing here."""
+    rows = [("authors", n) for n in PEOPLE] + [("venue", v) for v in VENUES[:2] + VENUES[3:]]
+    df = spark.createDataFrame(rows, "field string, name string")
+    before = {tuple(r) for r in names.link_names(df).collect()}
+    monkeypatch.setattr(names, "COMMON", 0)  # every key is refined
+    assert {tuple(r) for r in names.link_names(df).collect()} == before
+    monkeypatch.setattr(names, "suffix_blocks", lambda reps: reps.select(F.lit("x").alias("key"), "rep").where("false"))
+    assert names.link_names(df).count() == 0 < len(before)
+
+
 def test_lcs():
     assert names.lcs_ratio("abcd", "abcd") == 1 and names.lcs_ratio("", "a") == 0 and names.lcs_ratio("abcd", "abd") == 6 / 7
     assert names.alike("mining", "miinng") > 0 and names.alike("girkisax", "birisax") == 0
+    assert names.alike_ratios(["abcde", "ab", "same"], ["abcd", "abc", "same"]).round(3).tolist() == [0.889, 0.0, 1.0] and len(names.alike_ratios([], [])) == 0
 
 
 def test_boosted_trees():
