@@ -27,12 +27,14 @@ from pyspark.sql import types as T
 from quire.runtime import cut_lineage
 
 # Letters of another alphabet with the shape of a Latin letter.
-CYRILLIC = "асеорхуіјѕһԁԛԝАВЕКМНОРСТХЅІЈԌԚԜ"
-CYRILLIC_AS = "aceopxyijshdqwABEKMHOPCTXSIJGQW"
+CYRILLIC = "асеорхуіјѕһԁԛԝѵүӏАВЕКМНОРСТХЅІЈԌԚԜУҮӀѴ"
+CYRILLIC_AS = "aceopxyijshdqwvylABEKMHOPCTXSIJGQWYYIV"
 GREEK = "ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
 GREEK_AS = "ovABEZHIKMNOPTYX"
-ARMENIAN = "օ"
-ARMENIAN_AS = "o"
+ARMENIAN = "օոսհց"
+ARMENIAN_AS = "onuhg"
+CHEROKEE = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ"
+CHEROKEE_AS = "ABCDEGHJKLMPRSTVWZ"
 #: Marks with the shape of another mark.
 MARKS = "\u2010\u2011\u00b5"
 MARKS_AS = "--\u03bc"
@@ -58,6 +60,14 @@ def _wide_forms() -> Iterator[tuple[str, str]]:
             yield ch, unicodedata.normalize("NFKC", ch)
 
 
+def _numerals_and_small_forms() -> Iterator[tuple[str, str]]:
+    """Roman numerals of one character, and the small forms of punctuation."""
+    for cp in (*range(0x2160, 0x2180), *range(0xFE50, 0xFE6C)):
+        ch = chr(cp)
+        if unicodedata.decomposition(ch).startswith(("<compat>", "<small>")):
+            yield ch, unicodedata.normalize("NFKC", ch)
+
+
 def _spaces() -> Iterator[tuple[str, str]]:
     for cp in range(0xA0, 0x3001):
         if unicodedata.category(chr(cp)) == "Zs":
@@ -83,9 +93,9 @@ def _compositions(shapes: dict[str, str]) -> Iterator[tuple[str, str]]:
 
 def build_mapping() -> dict[str, str]:
     """All rules merged; raises MappingConflict when two rules disagree or a result would be rewritten again."""
-    look_alike = list(zip(CYRILLIC + GREEK + ARMENIAN + MARKS, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + MARKS_AS, strict=True))
+    look_alike = list(zip(CYRILLIC + GREEK + ARMENIAN + CHEROKEE + MARKS, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + CHEROKEE_AS + MARKS_AS, strict=True))
     mapping: dict[str, str] = {}
-    for rule in (look_alike, _joined_letters(), _wide_forms(), _spaces(), _invisible(), _compositions(dict(look_alike))):
+    for rule in (look_alike, _joined_letters(), _wide_forms(), _numerals_and_small_forms(), _spaces(), _invisible(), _compositions(dict(look_alike))):
         for source, target in rule:
             if mapping.setdefault(source, target) != target:
                 raise MappingConflict(f"{source!r}: {mapping[source]!r} and {target!r}")
@@ -100,9 +110,42 @@ def build_mapping() -> dict[str, str]:
     return mapping
 
 
+def composition_tables(mapping: dict[str, str]) -> tuple[dict[str, str], dict[str, int], dict[tuple[str, str], str]]:
+    """(full decompositions, classes of marks, compositions of two characters): what a cluster with several marks, which the mapping does not list, is put together from."""
+    parts, order, pairs = {}, {}, {}
+    for cp in (*range(0xA0, 0xAC00), *range(0xF900, 0x10000), *range(0x1D165, 0x1D1AE)):
+        ch = chr(cp)
+        if unicodedata.combining(ch):
+            order[ch] = unicodedata.combining(ch)
+        d = unicodedata.decomposition(ch)
+        if d and d[0] != "<":
+            parts[ch] = unicodedata.normalize("NFD", ch)
+            two = [chr(int(x, 16)) for x in d.split()]
+            if len(two) == 2 and unicodedata.normalize("NFC", ch) == ch:
+                pairs[two[0], two[1]] = ch
+    return parts, order, pairs
+
+
+def composed(cluster: str, tables: tuple[dict[str, str], dict[str, int], dict[tuple[str, str], str]]) -> str:
+    """A cluster of a base and marks with its marks in canonical order, composed as far as there is a letter."""
+    parts, order, pairs = tables
+    full = "".join(parts.get(c, c) for c in cluster)
+    base, marks = full[:1], sorted(full[1:], key=lambda c: order.get(c, 0)) if all(c in order for c in full[1:]) else list(full[1:])
+    rest, last = [], 0
+    for m in marks:
+        one = pairs.get((base, m)) if order.get(m, 0) > last or not rest else None
+        if one:
+            base = one
+        else:
+            rest.append(m)
+            last = order.get(m, 0)
+    return base + "".join(rest)
+
+
 @lru_cache(maxsize=1)
 def _transducer():
     mapping = build_mapping()
+    tables = composition_tables(mapping)
     marks = "".join(chr(c) for c in range(0x300, 0x370)) + "".join(chr(c) for c in (*range(0x1AB0, 0x1ACF), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x20F1), 0x3099, 0x309A, 0xFF9E, 0xFF9F))
     klass = lambda s: "".join(f"\\U{ord(c):08x}" for c in sorted(set(s)))
     single = klass(c for c in mapping if len(c) == 1 and c not in JOINERS)
@@ -124,7 +167,7 @@ def _transducer():
                 out = " "
             if out is None:
                 bare = "".join(mapping.get(c, c) for c in cluster if mapping.get(c) != "")
-                out = unicodedata.normalize("NFC", bare)
+                out = composed(bare, tables)
             if len(cache) < 100_000:
                 cache[cluster] = out
         return out
@@ -170,6 +213,32 @@ def _keys_udf(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"form_key": forms, "text_key": texts})
 
 
+def _spellings(df: DataFrame, keys: list[str], record: str, text: str) -> DataFrame:
+    """(_k…, _id, _f, _x): records whose form has several spellings, with the digests of form and text; written once."""
+    rows = (
+        df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(record).alias("_id"), F.col(text).alias("_t"))
+        .where("_t is not null and _t <> '' and _id is not null")
+        .withColumn("_d", _keys_udf("_t"))
+        .select(*[f"_k{i}" for i in range(len(keys))], "_id", F.col("_d.form_key").alias("_f"), F.col("_d.text_key").alias("_x"))
+        .where("_f is not null")
+    )
+    ks = [f"_k{i}" for i in range(len(keys))]
+    rows = cut_lineage(rows.distinct())  # texts are read and rewritten once
+    spellings = rows.groupBy(*ks, "_f").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).where("_lo <> _hi")
+    return rows.join(spellings.drop("_lo", "_hi"), [*ks, "_f"], "left_semi")
+
+def look_alike_classes(df: DataFrame, keys: list[str], record: str, text: str) -> DataFrame:
+    """(keys…, record, class_id, spelling): one row per record that reads like another without being the same text.
+
+    Records of one class read the same, those of one spelling are the same characters;
+    class_id is the smallest record of the class, spelling a digest."""
+    rows = _spellings(df, keys, record, text)
+    ks = [f"_k{i}" for i in range(len(keys))]
+    first = rows.groupBy(*ks, "_f").agg(F.min("_id").alias("class_id"))
+    named = rows.join(first, [*ks, "_f"])
+    return named.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_id").alias(record), "class_id", F.lower(F.hex("_x")).alias("spelling"))
+
+
 def look_alike_pairs(df: DataFrame, keys: list[str], record: str, text: str) -> DataFrame:
     """Pairs (id_a < id_b) of different records with one consistent form but different characters.
 
@@ -180,17 +249,8 @@ def look_alike_pairs(df: DataFrame, keys: list[str], record: str, text: str) ->
     partner; repeated rows count once.  ``keys`` are carried along (for instance
     the table name) and pairs never cross them.
     """
-    rows = (
-        df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(record).alias("_id"), F.col(text).alias("_t"))
-        .where("_t is not null and _t <> '' and _id is not null")
-        .withColumn("_d", _keys_udf("_t"))
-        .select(*[f"_k{i}" for i in range(len(keys))], "_id", F.col("_d.form_key").alias("_f"), F.col("_d.text_key").alias("_x"))
-        .where("_f is not null")
-    )
     ks = [f"_k{i}" for i in range(len(keys))]
-    rows = cut_lineage(rows.distinct())  # texts are read and rewritten once
-    spellings = rows.groupBy(*ks, "_f").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")).where("_lo <> _hi")
-    rows = rows.join(spellings.drop("_lo", "_hi"), [*ks, "_f"], "left_semi")
+    rows = _spellings(df, keys, record, text)
     classes = rows.select(*ks, "_f", "_x").distinct()
     pairs = (
         classes.withColumnRenamed("_x", "_xa")

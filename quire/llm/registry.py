@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.chunking import limit_of, split_oversized
-from quire.llm.confusables import consistent_form, look_alike_pairs
+from quire.llm.chunking import limit_of, reassembled, split_oversized
+from quire.llm.confusables import consistent_form, look_alike_classes, look_alike_pairs
 from quire.llm.leakage import leaked_items
 from quire.llm.mixing import mix, shares, token_counts
 from quire.llm.mojibake import repair_encoding
-from quire.llm.names import link_names
+from quire.llm.names import entities, link_names
 from quire.llm.repair import repair_pages
-from quire.llm.residue import Model, residue_units, sample_prose, without_residue
+from quire.llm.residue import PROSE_ROWS, Model, residue_units, sample_prose, without_residue
 from quire.llm.scanfix import page_noise
 from quire.llm.sentences import sentence_units
 from quire.runtime import ensure_importable
@@ -51,10 +51,15 @@ def p5_consistent(spark: SparkSession, d: str) -> DataFrame:
     return _p5_texts(spark, d).select("tbl", "id", consistent_form(F.col("text")).alias("text")).distinct()
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """(tbl, id, class_id, spelling): the records that read like another, with their class."""
+    return look_alike_classes(_p5_texts(spark, d), ["tbl"], "id", "text")
+
+
 def _p1_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(records, residue found in them) of raw papers and figure descriptions under one model."""
     raw, fig, final = _t(spark, d, "paper_raw"), _t(spark, d, "figure_info"), _t(spark, d, "paper_md")
-    prose = [*sample_prose(raw, "paper_id", "md_content"), *sample_prose(fig, "fig_key", "description"), *sample_prose(final, "paper_id", "md_content")]
+    prose = [*sample_prose(raw, "paper_id", "md_content"), *sample_prose(fig, "fig_key", "description", 2 * PROSE_ROWS), *sample_prose(final, "paper_id", "md_content")]
     records = raw.select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("rec_id"), F.col("md_content").alias("text")).unionByName(
         fig.select(F.lit("figure_info").alias("tbl"), F.col("fig_key").alias("rec_id"), F.col("description").alias("text"))
     )
@@ -72,11 +77,22 @@ def p1_kept(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(records.where("text is not null and text <> ''").distinct(), ["tbl", "rec_id"], found)
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """(field, name_a, name_b): spellings of one person, organisation or venue series."""
+def _p2_names(spark: SparkSession, d: str) -> DataFrame:
     pub = _t(spark, d, "publication")
     authors = pub.select(F.lit("authors").alias("field"), F.explode("authors").alias("name"))
-    return link_names(authors.unionByName(pub.select(F.lit("venue").alias("field"), F.col("venue").alias("name"))))
+    return authors.unionByName(pub.select(F.lit("venue").alias("field"), F.col("venue").alias("name")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """(field, name_a, name_b): spellings of one person, organisation or venue series."""
+    return link_names(_p2_names(spark, d))
+
+
+def p2_entities(spark: SparkSession, d: str) -> DataFrame:
+    """(field, name, entity): every spelling that could be read, with its entity, named by its first spelling."""
+    member = entities(_p2_names(spark, d))
+    first = member.groupBy("field", "entity").agg(F.min("name").alias("first"))
+    return member.join(first, ["field", "entity"]).select("field", "name", F.col("first").alias("entity"))
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -90,9 +106,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where("piece_no > 1").select("paper_id").distinct()
 
 
+def p3_reassembled(spark: SparkSession, d: str) -> DataFrame:
+    """(paper_id, text, fits, overlaps): the text of each paper as its pieces make it up, and whether they keep to limit and overlap."""
+    size, overlap = limit_of(_t(spark, d, "chunk_limit"), "paper_md")
+    papers = records_once(ensure_importable(spark), d, "paper_md", "paper_id")
+    return reassembled(split_oversized(papers, "paper_id", "md_content", size, overlap), "paper_id", size, overlap)
+
+
 def _p6_texts(spark: SparkSession, d: str) -> DataFrame:
-    raw = _t(spark, d, "paper_raw").select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("rec_id"), F.col("md_content").alias("text"))
-    code = _t(spark, d, "code_block").select(F.lit("code_block").alias("tbl"), F.col("block_key").alias("rec_id"), F.col("context").alias("text"))
+    ensure_importable(spark)
+    raw = records_once(spark, d, "paper_raw", "paper_id").select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("rec_id"), F.col("md_content").alias("text"))
+    code = records_once(spark, d, "code_block", "block_key").select(F.lit("code_block").alias("tbl"), F.col("block_key").alias("rec_id"), F.col("context").alias("text"))
     return raw.unionByName(code)
 
 
@@ -152,7 +176,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Training-data queries by name."""
-    found = (p1_found, p1_kept, p2_found, p3_found, p3_pieces, p4_found, p4_sentences, p5_found, p5_consistent, p6_found, p6_repaired, p7_found, p8_mix, p8_shares, p8_mix_by_length, p8_shares_by_length, p9_found, p9_restored)
+    found = (p1_found, p1_kept, p2_found, p2_entities, p3_found, p3_pieces, p3_reassembled, p4_found, p4_sentences, p5_found, p5_consistent, p5_classes, p6_found, p6_repaired, p7_found, p8_mix, p8_shares, p8_mix_by_length, p8_shares_by_length, p9_found, p9_restored)
     return {f.__name__: f for f in found}
 
 
@@ -177,6 +201,7 @@ def oracle_sql() -> dict[str, str]:
             a AS (SELECT r.*, coalesce(docs, 0) AS docs, coalesce(mixed_tokens, 0) AS mt, coalesce(mixed_docs, 0) AS md, coalesce(most_copies, 0) AS mc FROM rated r LEFT JOIN used USING (source))
             SELECT source, target_share, max_repeats, docs AS source_docs, source_tokens, md AS mixed_docs, mt AS mixed_tokens, mc AS most_copies, round(mt / sum(mt) OVER (), 9) AS actual_share,
             round(mt / sum(source_tokens) OVER (), 9) AS share_of_wanted, target_share * sum(source_tokens) OVER () > source_tokens * max_repeats AS cap_binding FROM a""",
+        "p3_reassembled": "SELECT DISTINCT paper_id, md_content AS text, true AS fits, true AS overlaps FROM paper_md WHERE md_content <> ''",
         "p3_found": """
             SELECT DISTINCT paper_id FROM paper_md
             WHERE length(md_content) > (SELECT max(max_chars) FROM chunk_limit WHERE item_type = 'paper_md')""",
