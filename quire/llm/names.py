@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.runtime import cut_lineage
+from quire.runtime import broadcast_if_small, cut_lineage
 
 MIN_SUFFIX = 3
 #: Readings of a block from which a suffix is refined, and from which a refined one is discarded.
@@ -368,7 +368,14 @@ def entities(names: DataFrame) -> DataFrame:
     )
     pairs = block_pairs(suffix_blocks(reps.where("kind <> 'a'")))
     side = lambda x: reps.select(F.col("rep").alias(f"rep_{x}"), *([F.col("kind")] if x == "a" else []), *[F.col(c).alias(f"{c}_{x}") for c in ("words", "cut", "extra", "n", "freq")])
-    links = cut_lineage(pairs.join(side("a"), "rep_a").join(side("b"), "rep_b").mapInPandas(compared, "rep long, to long, how string, ratio double, weight long"))
+    met = pairs.join(broadcast_if_small(side("a")), "rep_a").join(broadcast_if_small(side("b")), "rep_b")
+    # what one slip rules out needs no comparison word by word
+    given = [F.ltrim(c, F.lit("~")) for c in ("extra_a", "extra_b")]
+    near_people = (F.levenshtein(F.col("words_a")[0], F.col("words_b")[0]) <= 2) & (given[0].startswith(given[1]) | given[1].startswith(given[0]) | (F.levenshtein(*given) <= 2))
+    sizes = [F.size(f"words_{x}") + F.size(f"cut_{x}") for x in "ab"]
+    near_words = (sizes[0] == sizes[1]) & (F.size(F.array_except("words_a", "words_b")) <= 1 + sizes[0] / 3 + F.size("cut_b"))
+    likely = met.where(F.when(F.col("rep_a") == F.col("rep_b"), True).when(F.col("kind") == "p", near_people).otherwise(near_words))
+    links = cut_lineage(likely.mapInPandas(compared, "rep long, to long, how string, ratio double, weight long"))
     return cut_lineage(read.join(_resolved(reps, links), "rep").select("field", "name", F.col("entity")).distinct())
 
 
