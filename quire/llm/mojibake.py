@@ -35,7 +35,6 @@ MISREAD_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_ro
 ONE_BYTE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "cp866", "iso8859-2")
 WRITTEN_IN = ("cp1252", "cp1250", "cp1251", "koi8-r", "cp866", "cp437", "mac_roman", "iso8859-2", "gbk", "shift_jis", "euc_jp", "euc_kr", "big5")
 TWO_BYTE = ("gbk", "big5", "shift_jis", "cp949", "euc_kr", "euc_jp")
-MAX_LAYERS = 3
 #: Bits of cost from which a pair counts as unusual; only segments with unusual pairs are tried under other legacy encodings.
 UNUSUAL = 10.5
 #: Bits by which a repair has to lower the cost, for each character that it changes.
@@ -373,10 +372,7 @@ class Repairer:
         shape = _ASCII_RUN.sub(lambda m: m.group()[0] if m.group()[0].isdigit() else "a", text)
         if shape not in self.kept:
             now, recipes = text, []
-            for _ in range(MAX_LAYERS):
-                undone = self.layer(now)
-                if undone is None:
-                    break
+            while (undone := self.layer(now)) is not None:  # ends, as the cost drops by MIN_GAIN at least
                 now = undone[0]
                 recipes.append(undone[1])
             if recipes and recipes[0][1] == "utf-8" and _only_shown(text, now):

@@ -176,6 +176,10 @@ def test_nested_and_clean():
     text = CLEAN[4]
     twice = text.encode().decode("cp1252").encode().decode("cp1252")
     assert r.text(twice)[:2] == (True, text)
+    deep = text
+    for _ in range(5):
+        deep = deep.encode().decode("latin-1")
+    assert r.text(deep)[:2] == (True, text)
     assert all(not r.text(t)[0] for t in [*CLEAN[:5], "ascii only", "We saw the sequence â€™ in 22 files and fixed it.", "It shows “Ã©” instead of “é”, which we repair."])
     assert r.text("caf� au lait") == (True, "caf� au lait", False)
 
