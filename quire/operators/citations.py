@@ -58,7 +58,7 @@ def _by_heading(c: Column, found, otherwise: Column) -> Column:
     out = otherwise
     for h in reversed(HEADINGS):
         out = F.when(c.rlike(f"(?md){h}"), found(h)).otherwise(out)
-    return out
+    return F.when(F.contains(c, lit("References")) | F.contains(c, lit("REFERENCES")), out).otherwise(otherwise)
 
 
 def split_references(c: Column) -> Column:

@@ -24,6 +24,14 @@ def figure_map(files: Column) -> Column:
     return F.map_from_entries(let(numbered, last))
 
 
+def _may_name_a_figure(c: Column) -> Column:
+    """Cheap necessary condition of CAPTION: 'ig' in any case, with and without a dot."""
+    out = F.contains(c, lit("ig"))
+    for part in ("Ig", "iG", "IG", "ıg", "ıG", "İg", "İG"):
+        out = out | F.contains(c, lit(part))
+    return out
+
+
 def embed_figures(c: Column, by_number: Column) -> Column:
     """An image line before the first line that names a figure with a file."""
 
@@ -31,14 +39,15 @@ def embed_figures(c: Column, by_number: Column) -> Column:
         def each(l: Column, i: Column) -> Column:
             n = F.element_at(numbers, (i + 1).cast("int"))
             file = F.try_element_at(by_number, n)
-            here = F.when(file.isNotNull(), F.array_position(numbers, n) == i + 1).otherwise(F.lit(False))
-            image = F.concat(lit("![Figure "), n.cast("string"), lit("](./img/"), file, lit(")"))
-            return F.when(here, F.array(image, lit(""), l)).otherwise(F.array(l))
+            here = F.when(n.isNotNull() & file.isNotNull(), F.array_position(numbers, n) == i + 1).otherwise(F.lit(False))
+            image = F.concat(lit("![Figure "), n.cast("string"), lit("](./img/"), file, lit(")\n\n"), l)
+            return F.when(here, image).otherwise(l)
 
-        return unlines(F.flatten(F.transform(ls, each)))
+        return unlines(F.transform(ls, each))
 
-    number = lambda l: F.regexp_extract(l, CAPTION, 2).try_cast("int")
-    return let(lines(c), lambda ls: let(F.transform(ls, number), lambda ns: placed(ls, ns)))
+    number = lambda l: F.when(_may_name_a_figure(l), F.regexp_extract(l, CAPTION, 2).try_cast("int"))
+    named = let(lines(c), lambda ls: let(F.transform(ls, number), lambda ns: F.when(F.exists(ns, lambda n: n.isNotNull()), placed(ls, ns)).otherwise(c)))
+    return F.when(_may_name_a_figure(c), named).otherwise(c)
 
 
 def process_figures(c: Column, files: Column) -> Column:

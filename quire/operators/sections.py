@@ -47,10 +47,11 @@ def hierarchical_headings(c: Column) -> Column:
 
     def each(l: Column, i: Column, ls: Column) -> Column:
         s = strip(l)
+        numbered = l.rlike(rf"^{S}*{D}")  # all other lines stay
         title = s.rlike(TITLE_LINE) & is_section_title(strip(group(s, TITLE_LINE, 2)))
         following = strip(F.coalesce(F.try_element_at(ls, (i + 2).cast("int")), lit(""))) != ""
         return (
-            F.when(s.startswith("#"), F.array(l))
+            F.when(~numbered, F.array(l))
             .when(title, F.when(following, F.array(_heading(s, TITLE_LINE), lit(""))).otherwise(F.array(_heading(s, TITLE_LINE))))
             .when(s.rlike(TITLE_AND_BODY), F.array(_heading(s, TITLE_AND_BODY), lit(""), strip(group(s, TITLE_AND_BODY, 3))))
             .otherwise(F.array(l))
@@ -67,7 +68,8 @@ def numbered_bullets(c: Column) -> Column:
         next_line = strip(F.coalesce(F.try_element_at(after, F.lit(1)), lit("")))
         titled = F.when(l.rlike(_BULLET_TITLE), (next_line != "") & ~next_line.rlike(_LIST_LINE)).otherwise(F.lit(False))
         return (
-            F.when(titled, F.array(F.concat(lit("### "), group(l, _BULLET_TITLE, 1), lit(" "), group(l, _BULLET_TITLE, 2)), lit("")))
+            F.when(~l.startswith("-"), F.array(l))
+            .when(titled, F.array(F.concat(lit("### "), group(l, _BULLET_TITLE, 1), lit(" "), group(l, _BULLET_TITLE, 2)), lit("")))
             .when(l.rlike(_BULLET_ITEM), F.array(sub(l, _BULLET_ITEM, "$1. $2")))
             .otherwise(F.array(l))
         )
