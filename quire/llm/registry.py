@@ -59,7 +59,7 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
 def _p1_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(records, residue found in them) of raw papers and figure descriptions under one model."""
     raw, fig, final = _t(spark, d, "paper_raw"), _t(spark, d, "figure_info"), _t(spark, d, "paper_md")
-    prose = [*sample_prose(raw, "paper_id", "md_content"), *sample_prose(fig, "fig_key", "description", 2 * PROSE_ROWS), *sample_prose(final, "paper_id", "md_content")]
+    prose = [*sample_prose(raw, "paper_id", "md_content"), *sample_prose(fig, "fig_key", "description", 3 * PROSE_ROWS), *sample_prose(final, "paper_id", "md_content")]
     records = raw.select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("rec_id"), F.col("md_content").alias("text")).unionByName(
         fig.select(F.lit("figure_info").alias("tbl"), F.col("fig_key").alias("rec_id"), F.col("description").alias("text"))
     )
