@@ -7,9 +7,9 @@ representatives that are compared.
 
 Readings meet only through suffix blocks: every suffix of a word (and every prefix,
 for slips near its end) above a minimum length is a key.  A key with many readings
-is refined by other fields (the initials of the reading's other words) and
-discarded only if it is common even then; whole words are never discarded, and a
-reading meets itself there too.  Pairs of a block are compared word by word with
+is refined by other fields (the initials of the reading's other words, then the
+letter at the word's other end) and discarded only if it is common even then; whole
+words are never discarded, and a reading meets itself there too.  Pairs of a block are compared word by word with
 the ratio of the longest common subsequence; words agree when they are equal, one
 is a slip of the other, or one is cut or an initial.  A reading is then linked to
 its best partner: a slip to the more frequent word, a cut name or an initial to the
@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -233,18 +234,24 @@ def suffix_blocks(reps: DataFrame) -> DataFrame:
     reading, by which common suffixes are refined."""
     word = reps.select("rep", "field", "kind", "others", F.explode("words").alias("word")).where("word <> ''")
     tag = F.concat_ws("|", "field", "kind")
+    sizes = f"if(length(word) > {MIN_SUFFIX}, sequence({MIN_SUFFIX}, length(word) - 1), array())"
     parts = F.expr(
-        f"concat(array(struct('w' as side, word as part)), transform(if(length(word) > {MIN_SUFFIX}, sequence({MIN_SUFFIX}, length(word) - 1), array()), k -> struct('s' as side, right(word, k) as part)),"
-        f" transform(if(length(word) > {MIN_SUFFIX}, sequence({MIN_SUFFIX}, length(word) - 1), array()), k -> struct('p' as side, left(word, k) as part)))"
+        f"concat(array(struct('w' as side, word as part, '' as far)), transform({sizes}, k -> struct('s' as side, right(word, k) as part, left(word, 1) as far)), transform({sizes}, k -> struct('p' as side, left(word, k) as part, right(word, 1) as far)))"
     )
-    keyed = word.select("rep", "others", F.explode(parts).alias("k"), tag.alias("tag")).select("rep", "others", F.col("k.side").alias("side"), F.concat_ws("|", "tag", "k.side", "k.part").alias("key")).distinct()
-    size = keyed.groupBy("key").agg(F.count("*").alias("size"))
-    sized = keyed.join(size, "key")
-    small = sized.where(F.col("size") <= COMMON).select("key", "rep", "side", "size")
-    refined = sized.where(F.col("size") > COMMON).select("rep", "side", F.explode("others").alias("other"), "key").select(F.concat_ws("|", "key", "other").alias("key"), "rep", "side").distinct()
-    again = refined.groupBy("key").agg(F.count("*").alias("size"))
-    kept = refined.join(again, "key").where((F.col("size") <= COMMON_REFINED) | (F.col("side") == "w")).select("key", "rep", "side", "size")
-    return small.unionByName(kept).where("size > 1 or side = 'w'").select("key", "rep")
+    keyed = word.select("rep", "others", F.explode(parts).alias("k"), tag.alias("tag")).select("rep", "others", "k.side", "k.far", F.concat_ws("|", "tag", "k.side", "k.part").alias("key")).distinct()
+    small, common = _by_size(cut_lineage(keyed), COMMON)
+    by_others = common.select("rep", "side", "far", F.explode("others").alias("other"), "key").select("rep", "side", "far", F.concat_ws("|", "key", "other").alias("key")).distinct()
+    refined, still = _by_size(cut_lineage(by_others), COMMON_REFINED)
+    # the letter at the word's other end: a slip there leaves long, rare suffixes whole
+    by_far, _ = _by_size(still.where("side <> 'w'").select("rep", "side", "far", F.concat_ws("|", "key", "far").alias("key")).distinct(), COMMON_REFINED)
+    whole = still.where("side = 'w'")
+    return reduce(DataFrame.unionByName, [x.select("key", "rep") for x in (small, refined, by_far, whole)])
+
+
+def _by_size(keyed: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks of at most ``most`` readings, larger ones); blocks of one reading stay only for whole words, where it meets itself."""
+    sized = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("_size")), "key").where("_size > 1 or side = 'w'")
+    return sized.where(F.col("_size") <= most).drop("_size"), sized.where(F.col("_size") > most).drop("_size")
 
 
 def block_pairs(blocks: DataFrame) -> DataFrame:
@@ -366,7 +373,7 @@ def entities(names: DataFrame) -> DataFrame:
     reps = cut_lineage(
         reps.select("rep", *_REP, "n", "letters", "acronyms", F.array(others).alias("others"), F.when(F.col("kind") == "p", F.array(F.col("freq")[0], F.col("given_n"))).otherwise(F.coalesce("freq", F.array().cast("array<bigint>"))).alias("freq"))
     )
-    pairs = block_pairs(suffix_blocks(reps.where("kind <> 'a'")))
+    pairs = block_pairs(cut_lineage(suffix_blocks(reps.where("kind <> 'a'"))))
     side = lambda x: reps.select(F.col("rep").alias(f"rep_{x}"), *([F.col("kind")] if x == "a" else []), *[F.col(c).alias(f"{c}_{x}") for c in ("words", "cut", "extra", "n", "freq")])
     met = pairs.join(broadcast_if_small(side("a")), "rep_a").join(broadcast_if_small(side("b")), "rep_b")
     # what one slip rules out needs no comparison word by word
