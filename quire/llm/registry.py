@@ -25,9 +25,14 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return ensure_importable(spark).read.parquet(f"{d}/{name}.parquet")
 
 
+def _once(spark: SparkSession, d: str, name: str, key: str) -> DataFrame:
+    """A table with each record once; no text is shuffled for it."""
+    return records_once(ensure_importable(spark), d, name, key)
+
+
 def p4_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Sentence units of every final paper with their places and text; copies of a paper are told by keys and row positions, so no text is shuffled."""
-    return sentence_units(records_once(ensure_importable(spark), d, "paper_md", "paper_id"), "paper_id", "md_content")
+    return sentence_units(_once(spark, d, "paper_md", "paper_id"), "paper_id", "md_content")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -36,8 +41,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p5_texts(spark: SparkSession, d: str) -> DataFrame:
-    raw = _t(spark, d, "paper_raw").select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("id"), F.col("md_content").alias("text"))
-    fig = _t(spark, d, "figure_info").select(F.lit("figure_info").alias("tbl"), F.col("fig_key").alias("id"), F.col("caption").alias("text"))
+    raw = _once(spark, d, "paper_raw", "paper_id").select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("id"), F.col("md_content").alias("text"))
+    fig = _once(spark, d, "figure_info", "fig_key").select(F.lit("figure_info").alias("tbl"), F.col("fig_key").alias("id"), F.col("caption").alias("text"))
     return raw.unionByName(fig)
 
 
@@ -48,7 +53,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_consistent(spark: SparkSession, d: str) -> DataFrame:
     """(tbl, id, text): every raw paper and caption in its consistent form; a record without text keeps its null."""
-    return _p5_texts(spark, d).select("tbl", "id", consistent_form(F.col("text")).alias("text")).distinct()
+    return _p5_texts(spark, d).select("tbl", "id", consistent_form(F.col("text")).alias("text"))
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +63,7 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def _p1_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(records, residue found in them) of raw papers and figure descriptions under one model."""
-    raw, fig, final = _t(spark, d, "paper_raw"), _t(spark, d, "figure_info"), _t(spark, d, "paper_md")
+    raw, fig, final = _once(spark, d, "paper_raw", "paper_id"), _once(spark, d, "figure_info", "fig_key"), _t(spark, d, "paper_md")
     prose = [*sample_prose(raw, "paper_id", "md_content"), *sample_prose(fig, "fig_key", "description", 3 * PROSE_ROWS), *sample_prose(final, "paper_id", "md_content")]
     records = raw.select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("rec_id"), F.col("md_content").alias("text")).unionByName(
         fig.select(F.lit("figure_info").alias("tbl"), F.col("fig_key").alias("rec_id"), F.col("description").alias("text"))
@@ -74,7 +79,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_kept(spark: SparkSession, d: str) -> DataFrame:
     """(tbl, rec_id, text): the records with text that are left once those with residue are excluded."""
     records, found = _p1_units(spark, d)
-    return without_residue(records.where("text is not null and text <> ''").distinct(), ["tbl", "rec_id"], found)
+    return without_residue(records.where("text is not null and text <> ''"), ["tbl", "rec_id"], found)
 
 
 def _p2_names(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +103,7 @@ def p2_entities(spark: SparkSession, d: str) -> DataFrame:
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of every final paper under its limit, with their places and text; each repeats the end of the one before."""
     size, overlap = limit_of(_t(spark, d, "chunk_limit"), "paper_md")
-    return split_oversized(_t(spark, d, "paper_md"), "paper_id", "md_content", size, overlap).distinct()
+    return split_oversized(_once(spark, d, "paper_md", "paper_id"), "paper_id", "md_content", size, overlap)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -109,14 +114,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_reassembled(spark: SparkSession, d: str) -> DataFrame:
     """(paper_id, text, fits, overlaps): the text of each paper as its pieces make it up, and whether they keep to limit and overlap."""
     size, overlap = limit_of(_t(spark, d, "chunk_limit"), "paper_md")
-    papers = records_once(ensure_importable(spark), d, "paper_md", "paper_id")
-    return reassembled(split_oversized(papers, "paper_id", "md_content", size, overlap), "paper_id", size, overlap)
+    return reassembled(p3_pieces(spark, d), "paper_id", size, overlap)
 
 
 def _p6_texts(spark: SparkSession, d: str) -> DataFrame:
-    ensure_importable(spark)
-    raw = records_once(spark, d, "paper_raw", "paper_id").select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("rec_id"), F.col("md_content").alias("text"))
-    code = records_once(spark, d, "code_block", "block_key").select(F.lit("code_block").alias("tbl"), F.col("block_key").alias("rec_id"), F.col("context").alias("text"))
+    raw = _once(spark, d, "paper_raw", "paper_id").select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("rec_id"), F.col("md_content").alias("text"))
+    code = _once(spark, d, "code_block", "block_key").select(F.lit("code_block").alias("tbl"), F.col("block_key").alias("rec_id"), F.col("context").alias("text"))
     return raw.unionByName(code)
 
 
@@ -171,7 +174,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, restored_text, fully_restored) of the documents with wrongly decoded text."""
-    return repair_encoding(_t(spark, d, "documents"), "doc_id", "text").where("garbled").drop("garbled").distinct()
+    return repair_encoding(_t(spark, d, "documents"), "doc_id", "text").where("garbled").drop("garbled")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
