@@ -14,7 +14,7 @@ from quire.llm.mixing import mix, shares, token_counts
 from quire.llm.mojibake import repair_encoding
 from quire.llm.names import entities, link_names
 from quire.llm.repair import repair_pages
-from quire.llm.residue import PROSE_ROWS, Model, residue_units, sample_prose, without_residue
+from quire.llm.residue import fit_model, residue_units, without_residue
 from quire.llm.scanfix import page_noise
 from quire.llm.sentences import sentence_units
 from quire.runtime import ensure_importable
@@ -62,13 +62,13 @@ def p5_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p1_units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(records, residue found in them) of raw papers and figure descriptions under one model."""
+    """(records, residue found in them) of raw papers and figure descriptions under one model, which is fitted on all of them and on the final papers."""
     raw, fig, final = _once(spark, d, "paper_raw", "paper_id"), _once(spark, d, "figure_info", "fig_key"), _t(spark, d, "paper_md")
-    prose = [*sample_prose(raw, "paper_id", "md_content"), *sample_prose(fig, "fig_key", "description", 3 * PROSE_ROWS), *sample_prose(final, "paper_id", "md_content")]
     records = raw.select(F.lit("paper_raw").alias("tbl"), F.col("paper_id").alias("rec_id"), F.col("md_content").alias("text")).unionByName(
         fig.select(F.lit("figure_info").alias("tbl"), F.col("fig_key").alias("rec_id"), F.col("description").alias("text"))
     )
-    return records, residue_units(records, ["tbl", "rec_id"], "text", Model.fit(prose))
+    prose = records.select(F.col("text").alias("_t")).unionByName(final.select(F.col("md_content").alias("_t")))
+    return records, residue_units(records, ["tbl", "rec_id"], "text", fit_model(prose))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

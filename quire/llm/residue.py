@@ -1,7 +1,7 @@
 """Problem 1: template residue, filler, error messages and script notices.
 
 Character n-gram models of residue (unfilled templates, filler, error and script
-notices) and of natural prose (from a bounded sample of the tables themselves) give
+notices) and of natural prose (from all texts of the tables themselves) give
 every position of a text a log-likelihood ratio.  Windows of the ratio localise
 residue, and a unit (a sentence or what stands between blank lines) is residue when
 such windows cover most of it.  A sentence that speaks about or quotes residue is
@@ -10,14 +10,15 @@ covered in part only; code between fences is left out.
 The residue models are fitted on a grammar in words of our own, on the status and
 error texts of the Python library, on the usual Latin filler, and on classes of
 characters: an unfilled field of any name and a word that is repeated again and
-again are each written as one character.  They then learn from the sample: whole
+again are each written as one character.  They then learn from the texts: whole
 blocks that score as residue join the residue side (and leave the prose side), and
 the fit is repeated, so that wordings the grammar lacks come in by their neighbours.
+Counts of n-grams add up over texts, so the fit covers every row and does not
+depend on their order or partitions.
 
 Defined results: null and empty texts are no residue; units of fewer than
 MIN_UNIT characters that are not the whole text are ignored; repeated rows give
-repeated results.  Everything but the fit of the models covers all rows and whole
-texts.
+repeated results.  The fit and the search cover all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import math
 import os
 import random
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from http import HTTPStatus
 from operator import eq
 
@@ -36,15 +37,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.sampling import hash_sample
 from quire.runtime import broadcast_if_small, cut_lineage
 
 #: Lengths of the n-grams; their ratios are averaged.
 ORDERS = (3, 5)
 N = max(ORDERS)
 BITS = 20
-#: Rows of each sampled column that the prose model is fitted on (a bounded sample by a hash of the key).
-PROSE_ROWS = 500
 WINDOW = 15
 #: Mean log-likelihood ratio from which a window counts as residue.
 WINDOW_RATIO = 0.35
@@ -52,7 +50,7 @@ COVERAGE = 0.55
 #: Sum of the ratios that a unit needs: evidence, not only a share.
 MIN_EVIDENCE = 11.0
 MIN_UNIT = 6
-#: Coverage and evidence from which a whole block of the sample is learnt from, and how often.
+#: Coverage and evidence from which a whole block is learnt from, and how often.
 LEARN_COVERAGE, LEARN_EVIDENCE, ROUNDS = 0.5, 10.0, 2
 _CLIP, _UNSEEN = 4.0, -0.5
 
@@ -181,25 +179,36 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _grams(cp: np.ndarray, order: int) -> np.ndarray:
-    """Hash of the n-gram that starts at each position; the last ones run past the end into spaces."""
-    x = np.concatenate([cp, np.full(order - 1, 32, np.uint32)])
-    x = np.where((x >= 0x30) & (x <= 0x39), np.uint32(0x30), x)
-    x = np.where((x == 10) | (x == 9) | (x == 0xA0), np.uint32(32), x)
-    h = x[: len(cp)].copy()
+def _grams(cp: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the n-grams of each order that start at each position; the last ones run past the end into spaces."""
+    x = np.concatenate([cp, np.full(N - 1, 32, np.uint32)])
+    x[(x >= 0x30) & (x <= 0x39)] = 0x30
+    x[(x == 10) | (x == 9) | (x == 0xA0)] = 32
+    h, out = x[: len(cp)].copy(), []
     with np.errstate(over="ignore"):
-        for k in range(1, order):
+        x *= np.uint32(0x9E3779B1)
+        for k in range(1, N):
             h *= np.uint32(0x01000193)
-            h ^= x[k : len(cp) + k] * np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x85EBCA6B)
-    return h >> np.uint32(32 - BITS)
+            h ^= x[k : len(cp) + k]
+            if k + 1 in ORDERS:
+                g = h ^ (h >> np.uint32(15))
+                g *= np.uint32(0x85EBCA6B)
+                out.append(g >> np.uint32(32 - BITS))
+    return out
 
 
-def _counts(texts: list[str]) -> np.ndarray:
-    """Counts of the n-grams of each order."""
-    cp = _codes("\n\n".join(classed(t) for t in texts))
-    return np.stack([np.bincount(_grams(cp, n), minlength=1 << BITS).astype(np.float64) for n in ORDERS])
+#: What parts texts that are counted or scored together: no n-gram that matters reaches into the next text.
+_PARTED = "\n" * (N + 1)
+
+
+def _counts(texts: Iterable[str]) -> np.ndarray:
+    """Counts of the n-grams of each order; those of two lists of texts add up to those of both."""
+    low = [classed(t) + _PARTED for t in texts]
+    cp = _codes("".join(low))
+    counted, ends = np.ones(len(cp), bool), np.cumsum([len(t) for t in low], dtype=np.int64)
+    for k in range(1, N):
+        counted[ends - k] = False
+    return np.stack([np.bincount(g[counted], minlength=1 << BITS) for g in _grams(cp)])
 
 
 class Model:
@@ -210,26 +219,43 @@ class Model:
 
     @classmethod
     def fit(cls, prose: list[str], leave_out: Callable[[int], bool] = lambda n: False) -> Model:
-        """Fit on the grammar and prose, then again with what the fit before takes for residue on the other side."""
+        """Fit on the grammar and prose."""
+
+        def learn(model: Model) -> tuple[np.ndarray, np.ndarray]:
+            blocks, whole, clean = model.learnt(prose)
+            return _counts(blocks), _counts(clean) - _counts(whole)
+
+        return cls.fitted(_counts(prose), learn, leave_out)
+
+    @classmethod
+    def fitted(cls, prose: np.ndarray, learn: Callable[[Model], tuple[np.ndarray, np.ndarray]], leave_out: Callable[[int], bool] = lambda n: False) -> Model:
+        """Fit on the grammar and the counts of the prose, then again with what the fit before takes for residue on the other side.
+
+        ``learn`` gives the counts of the distinct blocks that a model takes for residue, and the change of the counts of the prose without them."""
         notices, filler = grammar(leave_out=leave_out)
-        fixed, fill, learnt = _counts(notices), _counts(filler), None
-        model = cls(_ratio([fixed, fill], _counts(prose)))
+        fixed, fill = _counts(notices), _counts(filler)
+        model = cls(_ratio([fixed, fill], prose))
         for _ in range(ROUNDS):
-            clean, blocks = [], set()
-            for text, spans in zip(prose, model.score(prose, LEARN_COVERAGE, LEARN_EVIDENCE), strict=True):
-                at, kept = 0, []
-                for a, b, *_ in spans:
-                    kept.append(text[at:a])
-                    at = b
-                    if not text[:a].rstrip(" ") or text[:a].rstrip(" ").endswith("\n\n"):
-                        blocks.add(re.sub(r"\d+", "0", text[a:b].strip()))
-                kept.append(text[at:])
-                clean.append(" ".join(kept))
-            learnt = _counts(sorted(blocks))
+            learnt, change = learn(model)
             scale = max(1.0, 0.25 * fixed[0].sum() / max(1.0, learnt[0].sum()))
-            model = cls(_ratio([fixed + scale * learnt, fill], _counts(clean)))
+            model = cls(_ratio([fixed + scale * learnt, fill], prose + change))
         return model
 
+    def learnt(self, texts: list[str]) -> tuple[set[str], list[str], list[str]]:
+        """(whole blocks that score as residue, texts with residue, the same texts without it)."""
+        blocks, whole, clean = set(), [], []
+        for text, spans in zip(texts, self.score(texts, LEARN_COVERAGE, LEARN_EVIDENCE), strict=True):
+            at, kept = 0, []
+            for a, b, *_ in spans:
+                kept.append(text[at:a])
+                at = b
+                if not text[:a].rstrip(" ") or text[:a].rstrip(" ").endswith("\n\n"):
+                    blocks.add(re.sub(r"\d+", "0", text[a:b].strip()))
+            if spans:
+                whole.append(text)
+                clean.append(" ".join([*kept, text[at:]]))
+        return blocks, whole, clean
+
     def units(self, text: str) -> list[tuple[int, int, float]]:
         """Residue units of one text: (start, end, coverage)."""
         return self.score([text])[0]
@@ -237,12 +263,11 @@ class Model:
     def score(self, texts: list[str], coverage: float = COVERAGE, least: float = MIN_EVIDENCE) -> list[list[tuple[int, int, float]]]:
         """Residue units of each text; all texts are scored as one array."""
         low = [classed(t) for t in texts]
-        joined = "\n\n".join(low)
-        cp = _codes(joined)
+        cp = _codes(_PARTED.join(low))
         if not len(cp):
             return [[] for _ in texts]
-        begins = np.cumsum([0, *(len(t) + 2 for t in low)])
-        ratio = np.mean([t[_grams(cp, n)] for n, t in zip(ORDERS, self.tables, strict=True)], axis=0)
+        begins = np.cumsum([0, *(len(t) + len(_PARTED) for t in low)])
+        ratio = sum(t[g] for g, t in zip(_grams(cp), self.tables, strict=True)) / np.float32(len(ORDERS))
         for at, t in zip(begins, low, strict=False):
             if "```" in t:
                 for m in _FENCED.finditer(t):
@@ -257,21 +282,25 @@ class Model:
         ends = np.append(starts[1:], len(cp))
         # n-grams that run out of a unit say nothing about it
         lengths = ends - starts
-        number = np.repeat(np.arange(len(starts)), lengths)
-        inside = np.minimum(ends[number] - np.arange(len(cp)), N)
-        ratio = np.where((inside < N) & (lengths[number] > 2 * N), 0.0, ratio).astype(np.float32)
+        for k in range(1, N):
+            ratio[ends[lengths > 2 * N] - k] = 0.0
         total = np.concatenate([[0.0], np.cumsum(ratio, dtype=np.float64)])
-        i = np.arange(len(cp))
-        lo, hi = np.maximum(i - WINDOW // 2, starts[number]), np.minimum(i + WINDOW // 2 + 1, ends[number])
-        mean = (total[hi] - total[lo]) / np.maximum(hi - lo, 1)
-        covered = ((mean > WINDOW_RATIO) & ~space).astype(np.int32)
-        solid = np.add.reduceat((~space).astype(np.int32), starts)
-        share = np.add.reduceat(covered, starts) / np.maximum(solid, 1)
-        evidence = total[ends] - total[starts]
+        # windows are looked at where the evidence suffices
+        hopeful = np.flatnonzero(total[ends] - total[starts] >= least)
+        out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+        if not len(hopeful):
+            return out
+        starts, ends, lengths = starts[hopeful], ends[hopeful], lengths[hopeful]
+        first = np.cumsum(lengths) - lengths
+        i = np.arange(lengths.sum()) + np.repeat(starts - first, lengths)
+        lo, hi = np.maximum(i - WINDOW // 2, np.repeat(starts, lengths)), np.minimum(i + WINDOW // 2 + 1, np.repeat(ends, lengths))
+        mean = (total[hi] - total[lo]) / (hi - lo)
+        covered = ((mean > WINDOW_RATIO) & ~space[i]).astype(np.int32)
+        solid = np.add.reduceat((~space[i]).astype(np.int32), first)
+        share = np.add.reduceat(covered, first) / np.maximum(solid, 1)
         owner = np.searchsorted(begins, starts, side="right") - 1
         sizes = np.array([len(t.strip()) for t in low])
-        bad = (share >= coverage) & (evidence >= least) & ((solid >= MIN_UNIT) | (solid >= 0.8 * sizes[owner]))
-        out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
+        bad = (share >= coverage) & ((solid >= MIN_UNIT) | (solid >= 0.8 * sizes[owner]))
         for u in np.flatnonzero(bad):
             d = int(owner[u])
             out[d].append((int(starts[u] - begins[d]), int(min(ends[u] - begins[d], len(texts[d]))), float(share[u])))
@@ -289,12 +318,85 @@ def _ratio(residue: list[np.ndarray], prose: np.ndarray) -> np.ndarray:
 
 #: Characters scored as one array.
 CHUNK = 400_000
+#: Characters counted as one array.
+COUNTED = 2_000_000
+
+
+def _chunks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of the texts, of at most so many characters or of one text."""
+    lo = 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) < most):
+            size += len(texts[hi])
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
+def _rows(counts: np.ndarray) -> pd.DataFrame:
+    """Rows (gram, n) of the counts that are not 0; the orders follow one another."""
+    flat = counts.ravel()
+    at = np.flatnonzero(flat)
+    return pd.DataFrame({"gram": at.astype(np.int32), "n": flat[at]})
+
+
+def _summed(rows: DataFrame) -> np.ndarray:
+    """The counts of rows (gram, n): at most as many sums as there are n-grams, so the array has a fixed size."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"gram": [pdf["gram"].to_numpy(np.int32).tobytes()], "n": [pdf["n"].to_numpy(np.int64).tobytes()]})
+
+    flat = np.zeros(len(ORDERS) << BITS, np.int64)
+    for r in rows.groupBy("gram").agg(F.sum("n").alias("n")).mapInPandas(pack, "gram binary, n binary").collect():
+        flat[np.frombuffer(r["gram"], np.int32)] = np.frombuffer(r["n"], np.int64)
+    return flat.reshape(len(ORDERS), -1)
+
+
+def gram_counts(texts: DataFrame) -> np.ndarray:
+    """Counts of the n-grams of each order over all rows of column ``_t``."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros((len(ORDERS), 1 << BITS), np.int64)
+        for pdf in batches:
+            texts = pdf["_t"].tolist()
+            for lo, hi in _chunks(texts, COUNTED):
+                n += _counts(texts[lo:hi])
+        yield _rows(n)
+
+    return _summed(texts.select("_t").mapInPandas(count, "gram int, n long"))
+
+
+def fit_model(texts: DataFrame) -> Model:
+    """The model fitted on all rows of column ``_t``: the same as :meth:`Model.fit` of their list."""
+    texts = texts.select("_t").where("_t is not null and _t <> ''")
+
+    def learn(model: Model) -> tuple[np.ndarray, np.ndarray]:
+        shared = texts.sparkSession.sparkContext.broadcast(model.tables)
+
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            m, change = Model(shared.value), np.zeros((len(ORDERS), 1 << BITS), np.int64)
+            whole: list[str] = []
+            clean: list[str] = []
+            for pdf in batches:
+                part = pdf["_t"].tolist()
+                for lo, hi in _chunks(part, CHUNK):
+                    blocks, with_residue, without = m.learnt(part[lo:hi])
+                    if blocks:
+                        yield pd.DataFrame({"gram": np.int32(-1), "n": 0, "block": sorted(blocks)})
+                    whole += with_residue
+                    clean += without
+                    if sum(map(len, whole)) >= COUNTED:
+                        change += _counts(clean) - _counts(whole)
+                        whole, clean = [], []
+            yield _rows(change + _counts(clean) - _counts(whole)).assign(block=None)
 
+        seen = cut_lineage(texts.mapInPandas(find, "gram int, n long, block string"))
+        blocks = seen.where("block is not null").select(F.col("block").alias("_t")).distinct()
+        return gram_counts(blocks), _summed(seen.where("block is null").select("gram", "n"))
 
-def sample_prose(df: DataFrame, record: str, text: str, rows: int = PROSE_ROWS) -> list[str]:
-    """About ``rows`` texts, chosen by a hash of their keys."""
-    texts = df.select(F.col(record).alias("i"), F.col(text).alias("t")).where("t is not null and t <> ''")
-    return [r["t"] for r in hash_sample(texts, ["i"], rows)]
+    return Model.fitted(gram_counts(texts), learn)
 
 
 def residue_units(df: DataFrame, keys: list[str], text: str, model: Model) -> DataFrame:
@@ -305,12 +407,8 @@ def residue_units(df: DataFrame, keys: list[str], text: str, model: Model) -> Da
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(shared.value.astype(np.float32))
         for pdf in batches:
-            texts, lo = pdf["_t"].tolist(), 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) < CHUNK):
-                    size += len(texts[hi])
-                    hi += 1
+            texts = pdf["_t"].tolist()
+            for lo, hi in _chunks(texts, CHUNK):
                 found = m.score(texts[lo:hi])
                 rows = [lo + n for n, u in enumerate(found) if u]
                 if rows:
@@ -319,7 +417,6 @@ def residue_units(df: DataFrame, keys: list[str], text: str, model: Model) -> Da
                     out["residue_units"] = [[{"start": a, "end": b} for a, b, _ in u] for u in units]
                     out["residue_share"] = [min(1.0, sum(b - a for a, b, _ in u) / max(1, len(texts[r]))) for r, u in zip(rows, units, strict=True)]
                     yield out
-                lo = hi
 
     found = (
         df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(text).alias("_t"))

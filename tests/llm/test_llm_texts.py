@@ -307,3 +307,23 @@ def test_long_quotations(spark):
     texts = [f'They wrote {a}{inner.strip()}{b} and left. Then it ended.' for a, b in ('""', "“”", "«»", "()")]
     rows = sentence_units(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t").collect()
     assert sorted(r["id"] for r in rows) == [0, 0, 1, 1, 2, 2, 3, 3]
+
+
+def test_residue_is_fitted_on_every_row(spark):
+    """A notice in a language that the grammar lacks is learnt wherever it stands; order and partitions do not matter."""
+    notice = "Vinsamlegast kveiktu á JavaScript. Error 404: Not Found."
+    texts = [f"{PROSE[i % len(PROSE)]}\n\nRun {i} is like the others." for i in range(4000)]
+    texts[1234] = f"{notice}\n\n{PROSE[0]}"
+    df = spark.createDataFrame([*((t,) for t in texts), (None,), ("",)], "_t string")
+    want = residue.Model.fit(texts)
+    for rows in (df, df.repartition(7)):
+        got = residue.fit_model(rows)
+        assert (got.tables == want.tables).all() and got.units(notice)
+    counts = residue.gram_counts(df.where("_t <> ''"))
+    assert counts[0].sum() == sum(len(t) + 2 for t in texts)
+
+
+def test_residue_does_not_depend_on_neighbours():
+    m = residue.Model.fit(PROSE)
+    texts = ["410 Gone", PROSE[0], "404", "x", "{{title}}", *PROSE[1:3]]
+    assert m.score(texts) == [m.units(t) for t in texts] and m.score(texts[::-1]) == [m.units(t) for t in texts[::-1]]
