@@ -29,9 +29,10 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections import ChainMap, Counter
+from collections.abc import Iterator, Mapping
+from functools import lru_cache, reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -42,13 +43,13 @@ from pyspark.sql import functions as F
 from quire.llm.boosting import BoostedTrees
 from quire.llm.confusables import normalise
 from quire.llm.sampling import hash_sample
-from quire.runtime import cut_lineage
+from quire.runtime import broadcast_if_small, cut_lineage
 
 TRAIN_TEXTS = 1000
 TRAIN_WORDS = 1500
 #: Texts with a line longer than this were not wrapped at a page's width; only they serve for training.
 UNWRAPPED = 120
-#: Most lexicon words sent to the workers, by count.  Rarer ones become suspects and are taken out by a join; only the reading of cut words, which looks at counts, sees no others.
+#: Most lexicon words sent to the workers, by count.  Rarer ones that a text asks for are joined to it before it is read, so the number changes no result.
 LEXICON_LIMIT = 300_000
 #: A lexicon word occurs at least this often.
 LEXICON_COUNT = 6
@@ -173,7 +174,7 @@ class Page:
         return max(-1.0, (self.full - len(line) - 1 - len(following.split(" ", 1)[0])) / self.full)
 
 
-def cut_features(left: str, mark: str, right: str, lexicon: dict[str, int]) -> list[float]:
+def cut_features(left: str, mark: str, right: str, lexicon: Mapping[str, int]) -> list[float]:
     """Of a hyphen between two lines: how usual the joined word, the compound and its parts are."""
     a, b = left.lower(), right.lower()
     f = lambda w: math.log1p(lexicon.get(w, 0))
@@ -359,6 +360,10 @@ def _grams(word: str) -> set[str]:
     return {w[i : i + 2] for i in range(len(w) - 1)}
 
 
+#: Words that the ranking is fitted on, and the letters that are put into them.
+RANKED_WORDS, _LETTERS = 700, "abcdefghijklmnoprstuvwyz"
+
+
 def _ranking_rows(words: list[str], lexicon: dict[str, int], rng: random.Random) -> tuple[np.ndarray, np.ndarray]:
     """Misread words with their true word (1) and with others of like shape (0); words held out of the lexicon have no true one."""
     index: dict[str, list[str]] = {}
@@ -375,7 +380,7 @@ def _ranking_rows(words: list[str], lexicon: dict[str, int], rng: random.Random)
         return max(1, int(lexicon[word] / DOUBTFUL_RATIO ** rng.uniform(1, 3)))
 
     rows: list[tuple[str, str, int, int, int]] = []
-    for w in words[:700]:
+    for w in words[:RANKED_WORDS]:
         options = [(t, s) for t, s in CONFUSIONS if t in w]
         if options:
             t, s = rng.choice(options)
@@ -387,7 +392,7 @@ def _ranking_rows(words: list[str], lexicon: dict[str, int], rng: random.Random)
         a = w[: rng.randint(2, len(w) - 1)]  # a piece of a word
         rows += [(a, c, seen_count(w), lexicon[c], 0) for c in like(a)]
         k = rng.randrange(len(w))  # another right word that differs by a letter
-        near = w[:k] + rng.choice("abcdefghijklmnoprstuvwyz") + w[k + rng.randint(0, 1) :]
+        near = w[:k] + rng.choice(_LETTERS) + w[k + rng.randint(0, 1) :]
         if near not in lexicon and skeleton(near) != skeleton(w):
             rows.append((near, w, seen_count(w), lexicon[w], 0))
     if len({r[4] for r in rows}) < 2:
@@ -396,6 +401,37 @@ def _ranking_rows(words: list[str], lexicon: dict[str, int], rng: random.Random)
     return rank_features(seen, cand, n, k), np.array(y)
 
 
+def fitting_words(words: DataFrame, sent: dict[str, int]) -> dict[str, int]:
+    """``sent`` and what else of the lexicon ``words`` (word, n) :meth:`Readers.fit` may look at, so that it fits the same as on the whole of it.
+
+    The number of words depends on TRAIN_WORDS and RANKED_WORDS, not on the lexicon."""
+
+    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(size=[len(w) if w.isalpha() else 0 for w in pdf["word"]], compound=["-" in w for w in pdf["word"]])
+
+    shaped = cut_lineage(words.select("word", "n").mapInPandas(shapes, "word string, n long, size int, compound boolean"))
+    whole, ranked, compounds = ([(r["word"], r["n"]) for r in shaped.where(kind).orderBy(F.desc("n"), "word").limit(TRAIN_WORDS).collect()] for kind in ("size > 4", "size > 2", "compound"))
+    asked = set()
+    for w, _ in whole:
+        for k in range(1, len(w)):
+            asked |= {w[:k], w[k:], f"{w[:k]}-{w[k:]}"}
+    for w, _ in compounds:
+        a, b = w.split("-", 1)
+        asked |= {a + b, a, b}
+    for w, _ in ranked[:RANKED_WORDS]:
+        asked |= {w[: m.start()] + s + w[m.start() + len(t) :] for t, s in CONFUSIONS for m in re.finditer(re.escape(t), w)}
+        asked |= {w[:k] + c + w[k + n :] for k in range(len(w)) for c in _LETTERS for n in (0, 1)}
+    shared = words.sparkSession.sparkContext.broadcast(asked - sent.keys())
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[w in shared.value for w in pdf["word"]]]
+
+    more = words.select("word", "n").mapInPandas(pick, "word string, n long").collect()
+    return {**sent, **dict(whole), **dict(ranked), **dict(compounds), **{r["word"]: r["n"] for r in more}}
+
+
 _ALPHABETIC = re.compile(r"[a-z0-9\u00df-\u00f6\u00f8-\u024f\u0370-\u052f\u0561-\u0587]+")
 
 
@@ -439,11 +475,8 @@ def doubtful_words(words: DataFrame) -> DataFrame:
     return rare.join(often, "skel").where(f"n * {DOUBTFUL_RATIO} < cand_n").select("word", "cand").mapInPandas(find, "word string").distinct()
 
 
-def read_pages(texts: list[str], models: Readers, lexicon: dict[str, int]) -> list[tuple[list[int], list[int], list[tuple[int, str]]]]:
-    """Per text: page lines, lines that end in a cut word, and suspects with their lines; lines count from 0.
-
-    The classifiers score the lines of all texts at once."""
-    pages = [Page(t) for t in texts]
+def _contents(pages: list[Page], models: Readers) -> tuple[list[set[int]], list[list[int]]]:
+    """(lines that are furniture, lines with content) of each page; the lines of all are scored at once."""
     spots = [(p, i) for p, page in enumerate(pages) if len(page.lines) > 1 for i in page.candidates()]
     furniture: list[set[int]] = [set() for _ in pages]
     if spots:
@@ -451,31 +484,58 @@ def read_pages(texts: list[str], models: Readers, lexicon: dict[str, int]) -> li
         for (p, i), s in zip(spots, score, strict=True):
             if s > LINE_LIMIT:
                 furniture[p].add(i)
-    content = [[i for i, (l, c) in enumerate(zip(page.clean, page.code, strict=True)) if l and not c and i not in furniture[p]] for p, page in enumerate(pages)]
-    joins, rows = [], []
+    return furniture, [[i for i, (l, c) in enumerate(zip(page.clean, page.code, strict=True)) if l and not c and i not in furniture[p]] for p, page in enumerate(pages)]
+
+
+def _joins(pages: list[Page], content: list[list[int]]) -> Iterator[tuple[int, int, int, str, str, str, int]]:
+    """(page, line, next line, word before the hyphen, hyphen, word after it, its end) wherever a hyphen ends a line."""
     for p, page in enumerate(pages):
         for i, j in zip(content[p], content[p][1:], strict=False):
             if page.clean[i][-1] in HYPHENS:
                 m = _CUT.search(page.clean[i])
                 h = _HEAD_WORD.match(page.clean[j]) if m else None
                 if h:
-                    joins.append((p, i, j, m.group(1), h.group(1), h.end()))
-                    rows.append(cut_features(m.group(1), m.group(2), h.group(1), lexicon))
+                    yield p, i, j, m.group(1), m.group(2), h.group(1), h.end()
+
+
+def _unknown(text: str, lexicon: Mapping[str, int]) -> set[str]:
+    """The tokens of a text that the lexicon lacks."""
+    return {t for t in set(_TOKEN.findall(_seen(text))) if t not in lexicon and t.lower() not in lexicon}
+
+
+def asked_words(texts: list[str], models: Readers, lexicon: dict[str, int]) -> list[set[str]]:
+    """Per text: the words that :func:`read_pages` looks up and ``lexicon`` lacks."""
+    pages = [Page(t) for t in texts]
+    asked: list[set[str | None]] = [{w for t in _unknown(text, lexicon) for w in (t, t.lower(), suspect_form(t))} for text in texts]
+    for p, _, _, a, _, b, _ in _joins(pages, _contents(pages, models)[1]):
+        left, right = a.lower(), b.lower()
+        asked[p] |= {left + right, f"{left}-{right}", left, right, suspect_form(a + b)}
+    return [{w for w in words if w and w not in lexicon} for words in asked]
+
+
+def read_pages(texts: list[str], models: Readers, lexicon: dict[str, int], more: list[dict[str, int]] | None = None) -> list[tuple[list[int], list[int], list[tuple[int, str]]]]:
+    """Per text: page lines, lines that end in a cut word, and suspects with their lines; lines count from 0.
+
+    The classifiers score the lines of all texts at once.  ``more`` has further lexicon words for each text."""
+    pages = [Page(t) for t in texts]
+    known: list[Mapping[str, int]] = [ChainMap(m, lexicon) if m else lexicon for m in more] if more else [lexicon] * len(texts)
+    furniture, content = _contents(pages, models)
+    joins = list(_joins(pages, content))
+    rows = [cut_features(a, mark, b, known[p]) for p, _, _, a, mark, b, _ in joins]
     cut_at: list[dict[int, tuple[int, str, str]]] = [{} for _ in pages]
     heads: list[dict[int, int]] = [{} for _ in pages]
     if rows:
-        for (p, i, j, a, b, end), s in zip(joins, models.cut.predict(np.array(rows)), strict=True):
+        for (p, i, j, a, _, b, end), s in zip(joins, models.cut.predict(np.array(rows)), strict=True):
             if s > CUT_LIMIT:
                 cut_at[p][i] = (j, a, b)
                 heads[p][j] = end
     out = []
     for p, (page, text) in enumerate(zip(pages, texts, strict=True)):
         suspects: list[tuple[int, str]] = []
-        unknown = {t for t in set(_TOKEN.findall(_seen(text))) if t not in lexicon and t.lower() not in lexicon}
-        unknown = {t: w for t in unknown if (w := suspect_form(t)) and w not in lexicon}
+        unknown = {t: w for t in _unknown(text, known[p]) if (w := suspect_form(t)) and w not in known[p]}
         for i, (j, a, b) in cut_at[p].items():
             w = suspect_form(a + b)
-            if w and w not in lexicon:
+            if w and w not in known[p]:
                 suspects.append((i, f"{w}|{len(a)}|{j}"))
         if unknown:
             for i in content[p]:
@@ -492,6 +552,8 @@ def read_page(text: str, models: Readers, lexicon: dict[str, int]) -> tuple[list
 
 #: Texts that are scored together.
 TOGETHER = 400
+#: Most texts of which the rarer words are sent; more are joined by a shuffle.
+TEXTS_SENT = 50_000
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -531,26 +593,39 @@ def page_findings(texts: DataFrame, keys: list[str], text: str) -> tuple[DataFra
     lexicon = dict(zip(top["word"].tolist(), top["n"].tolist(), strict=True))
     drawn = hash_sample(base, [f"_k{i}" for i in range(len(keys))], 3 * TRAIN_TEXTS)
     sample = [r["_t"] for r in drawn if max(map(len, r["_t"].split("\n"))) > UNWRAPPED][:TRAIN_TEXTS]
-    models = Readers.fit(sample, lexicon)
+    cut = lexicon_df.count() > len(lexicon)
+    models = Readers.fit(sample, fitting_words(lexicon_df, lexicon) if cut else lexicon)
     shared = spark.sparkContext.broadcast((models, lexicon))
     kinds = ", ".join(f"_k{i} {texts.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
     names = [f"_k{i}" for i in range(len(keys))]
 
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, lex = shared.value
+        for pdf in batches:
+            ids, texts = list(zip(*(pdf[n].tolist() for n in names), strict=True)), pdf["_t"].tolist()
+            asked = (a for lo in range(0, len(texts), TOGETHER) for a in asked_words(texts[lo : lo + TOGETHER], m, lex))
+            yield pd.DataFrame([(*key, w) for key, words in zip(ids, asked, strict=True) for w in sorted(words)], columns=[*names, "word"])
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, lex = shared.value
         for pdf in batches:
             ids, texts, out = list(zip(*(pdf[n].tolist() for n in names), strict=True)), pdf["_t"].tolist(), []
-            read_all = (r for lo in range(0, len(texts), TOGETHER) for r in read_pages(texts[lo : lo + TOGETHER], m, lex))
+            more = [{x["word"]: x["n"] for x in r} if r is not None else {} for r in pdf["_more"]] if cut else None
+            read_all = (r for lo in range(0, len(texts), TOGETHER) for r in read_pages(texts[lo : lo + TOGETHER], m, lex, more and more[lo : lo + TOGETHER]))
             for key, (furniture, cuts, suspects) in zip(ids, read_all, strict=True):
                 out += [(*key, i + 1, "page_line", None) for i in furniture]
                 out += [(*key, i + 1, "cut_word", None) for i in cuts]
                 out += [(*key, i + 1, "suspect", w) for i, w in suspects]
             yield pd.DataFrame(out, columns=[*names, "line_no", "noise", "word"])
 
+    if cut:  # each text meets the rarer words that it asks for
+        own = base.mapInPandas(ask, f"{kinds}, word string").join(lexicon_df, "word").groupBy(*[F.col(n).alias(f"_own{n}") for n in names]).agg(F.collect_set(F.struct("word", "n")).alias("_more"))
+        own = broadcast_if_small(cut_lineage(own), TEXTS_SENT)
+        base = base.join(own, reduce(and_, (base[n].eqNullSafe(own[f"_own{n}"]) for n in names)), "left").select(*names, "_t", "_more")
     seen = cut_lineage(base.mapInPandas(read, f"{kinds}, line_no int, noise string, word string").distinct())
     suspects = seen.where("noise = 'suspect'").withColumn("word", F.split("word", r"\|"))
     suspects = suspects.select(*names, "line_no", F.col("word")[0].alias("word"), F.try_element_at("word", F.lit(2)).cast("int").alias("left"), F.try_element_at("word", F.lit(3)).cast("int").alias("other"))
-    unknown = suspects.groupBy("word").agg(F.count("*").alias("seen")).join(lexicon_df, "word", "left_anti")  # the broadcast lexicon may be cut
+    unknown = suspects.groupBy("word").agg(F.count("*").alias("seen"))
     readings = shaped.join(doubtful, "word", "left_anti").where(r"not word rlike '[0-9]'")
     corrections = cut_lineage(best_corrections(unknown, readings, models.rank))
     hit = suspects.join(corrections, "word")

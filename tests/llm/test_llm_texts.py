@@ -327,3 +327,20 @@ def test_residue_does_not_depend_on_neighbours():
     m = residue.Model.fit(PROSE)
     texts = ["410 Gone", PROSE[0], "404", "x", "{{title}}", *PROSE[1:3]]
     assert m.score(texts) == [m.units(t) for t in texts] and m.score(texts[::-1]) == [m.units(t) for t in texts[::-1]]
+
+
+def test_lexicon_limit_changes_no_result(spark, monkeypatch):
+    """Cut and misread words are read with the whole lexicon, however few of its words are sent."""
+    words = "the lightweight metadata service keeps approximately seven megabytes of state per node while producer-consumer workflows dominate over a congested fabric and latency grows with clients"
+    rare = ["zebrafinch", "quadrature", "paddleboat", "interlocking", "understudy"]
+    clean = [(i, f"# Study {i}\n\n" + (words + ". ") * 4 + "\n\n" + (words + ". ") * 3 + f"Then {rare[i % 5]} and {rare[(i + 1) % 5]} came with long-term fairness.") for i in range(60)]
+    scans = [(100, "# A study of systems\n\nthe lightweight service keeps the quad-\nrature of state per node while a zebrafincb\ndominates over a long-\nterm fabric and the under-\nstudy keeps seven megabytes of state per node\nwhile latency grows with clients over a fabric."), (None, "# B\n\nwhile the paddle-\nboat keeps an inter-\nlocking state per node over a congested fabrie")]
+    df = spark.createDataFrame([*clean, *scans, (98, None), (97, "")], "id bigint, t string")
+    got = []
+    for limit, texts_sent in ((300_000, 50_000), (12, 50_000), (12, 0), (1, 50_000)):
+        monkeypatch.setattr(scanfix, "LEXICON_LIMIT", limit)
+        monkeypatch.setattr(scanfix, "TEXTS_SENT", texts_sent)
+        noise, corrections = scanfix.page_noise(df, ["id"], "t")
+        got.append((sorted(map(tuple, noise.collect()), key=str), sorted(map(tuple, corrections.collect()))))
+    assert {(100, 3, "cut_word"), (100, 6, "cut_word"), (None, 3, "cut_word")} <= set(got[0][0])
+    assert got[1:] == got[:1] * 3
